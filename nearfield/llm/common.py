@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import weakref
@@ -11,6 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _shipped: "weakref.WeakSet[object]" = weakref.WeakSet()
 
 
@@ -92,3 +94,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     children = current.groupBy("u").agg(F.min("v").alias("component"))
     roots = current.select(F.col("v").alias("u")).distinct().join(children.select("u"), "u", "left_anti")
     return children.union(roots.select("u", F.col("u").alias("component"))).select(F.col("u").alias("node"), "component")
+
+
+def stretches(raw: bytes, length: int = 1 << 20):
+    """``raw`` in parts of about ``length`` bytes that end before ASCII white space, so words stay whole."""
+    at = 0
+    while at < len(raw):
+        end = at + length
+        if end < len(raw):
+            found = _BLANK.search(raw, end)
+            end = found.start() if found else len(raw)
+        yield raw[at:end]
+        at = end
