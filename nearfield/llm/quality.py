@@ -109,7 +109,7 @@ RULES = (
     Rule("few_words", lambda m: m.n_words < 50, base=True),
     Rule("repeated_words", lambda m: 100 * m.n_repeat_words > 50 * m.n_words, base=True),
     Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words),
-    Rule("repeated_lines", lambda m: 10 * m.n_dup_lines > 3 * m.n_lines),
+    Rule("repeated_lines", lambda m: m.n_dup_lines > 2 and 10 * m.n_dup_lines > 3 * m.n_lines),
     Rule("word_length", lambda m: m.word_chars < 2 * m.n_words or m.word_chars > 15 * m.n_words),
     Rule("letterless_words", lambda m: 5 * m.n_letterless > m.n_words),
     Rule("shouting", lambda m: m.n_upper > m.n_lower),

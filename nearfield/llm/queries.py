@@ -62,7 +62,7 @@ m AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words,
       FROM w LEFT JOIN ln USING (rid) LEFT JOIN rw USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+  NOT (base_failed OR 10 * n_symbols > n_words OR n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
        OR 5 * n_letterless > n_words OR n_upper > n_lower) AS kept
 FROM b
 """
