@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import decontaminate, langid, packing, quality, simhash, warc
+from nearfield.llm import decontaminate, langid, linededup, packing, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,31 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.deduplicated(_table(spark, sf_dir, "documents"), counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+OP10_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+x AS (SELECT *, string_split(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS w FROM l),
+y AS (SELECT *, len(w) AS n, row_number() OVER (ORDER BY doc_id, pos) AS o FROM x WHERE w != ['']),
+u AS (SELECT w, n, min(o) AS o FROM y WHERE n >= 3 GROUP BY w, n),
+c AS (SELECT a.w AS a, b.w AS b FROM u a JOIN u b ON a.w[1:4] = b.w[1:4] AND abs(a.n - b.n) <= 1 AND b.o < a.o WHERE a.n >= 8 AND b.n >= 8
+      UNION SELECT a.w, b.w FROM u a JOIN u b ON a.w[-4:] = b.w[-4:] AND abs(a.n - b.n) <= 1 AND b.o < a.o WHERE a.n >= 8 AND b.n >= 8),
+p AS (SELECT a, b, least(len(a), len(b)) AS m,
+        list_max(list_filter(range(0, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS p,
+        list_max(list_filter(range(0, least(len(a), len(b)) + 1), lambda i: list_reverse(a)[1:i] = list_reverse(b)[1:i])) AS s FROM c),
+near AS (SELECT DISTINCT a AS w FROM p WHERE greatest(len(a), len(b)) - p - least(s, m - p) <= 1),
+gone AS (SELECT y.doc_id, y.pos FROM y JOIN u USING (w) LEFT JOIN near USING (w) WHERE y.o > u.o OR near.w IS NOT NULL),
+r AS (SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(gone.pos)::BIGINT AS n_dropped,
+        coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '') AS t
+      FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(t) END AS text_sha256
+FROM documents d LEFT JOIN r USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -117,6 +142,7 @@ QUERIES: dict[str, Query] = {
     "op5_langid": op5_langid,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_quality": OP4_SQL, "op8_decontaminate": OP8_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_quality": OP4_SQL, "op8_decontaminate": OP8_SQL, "op10_line_dedup": OP10_SQL}
