@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import cut, ship
@@ -142,7 +142,35 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     hit words but are not listed; repeated documents and items each count as they are, items once a document; empty
     tables give no rows, or rows without hits; other columns are not read.
     """
-    spark = docs.sparkSession
+    shared = _shards(docs.sparkSession, benchmark, item_col, item_text_col, length, shard_windows, shard_bytes)
+    kind = docs.schema[id_col].dataType.simpleString()
+    nothing = [F.array().cast(_SPANS).alias("places"), F.array().cast("array<string>").alias("items")]
+    state = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *nothing)
+    for windows in shared[:-1]:
+        state = state.mapInArrow(_pass_on(windows), f"id {kind}, text string, places {_SPANS}, items array<string>")
+    state = state.mapInArrow(_finish(shared[-1]), f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans {_SPANS}")
+    return state.withColumnRenamed("id", id_col)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10, shard_windows: int = 100_000, shard_bytes: int = 64_000_000) -> Column:
+    """Whether the text of a row of ``docs`` holds a window of an item; false for null texts. See :func:`scan`."""
+    held = F.lit(False)
+    for windows in _shards(docs.sparkSession, benchmark, item_col, item_text_col, length, shard_windows, shard_bytes):
+        held = held | _holds(windows)(F.col(text_col).cast("string"))
+    return held
+
+
+def _holds(shared: Broadcast):
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        scanner = _scanner(shared)
+        return pa.array([bool(scanner.scan(words_of(x.as_py()))[0]) for x in texts], pa.bool_())
+
+    return holds
+
+
+def _shards(spark: SparkSession, benchmark: DataFrame, item_col: str, item_text_col: str, length: int, most_windows: int, most_bytes: int) -> list[Broadcast]:
+    """The (window, item) pairs of ``benchmark``, as broadcasts that are each within the limits."""
     ship(spark)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,18 +185,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     windows = cut(items.mapInArrow(split, "item string, window binary").distinct())
     rows, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.length("window")), F.lit(0))).first()
-    shards = max(1, -(-rows // shard_windows), -(-size // shard_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
-    nothing = [F.array().cast(_SPANS).alias("places"), F.array().cast("array<string>").alias("items")]
-    state = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *nothing)
+    shards = max(1, -(-rows // most_windows), -(-size // most_bytes))
+    out = []
     for shard in range(shards):
         part = windows.where(F.pmod(F.xxhash64("window", "item"), F.lit(shards)) == shard)
-        shared = spark.sparkContext.broadcast([(bytes(r["window"]), r["item"]) for r in part.collect()])
-        if shard < shards - 1:
-            state = state.mapInArrow(_pass_on(shared), f"id {kind}, text string, places {_SPANS}, items array<string>")
-        else:
-            state = state.mapInArrow(_finish(shared), f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans {_SPANS}")
-    return state.withColumnRenamed("id", id_col)
+        out.append(spark.sparkContext.broadcast([(bytes(r["window"]), r["item"]) for r in part.collect()]))
+    return out
 
 
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

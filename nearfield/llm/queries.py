@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import decontaminate, langid, linededup, packing, quality, simhash, warc
+from nearfield.llm import decontaminate, langid, linededup, packing, quality, simhash, trees, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +77,51 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
 
 
+URL_RULES = [
+    urlfilter.Rule("org", "/", allow=True),
+    urlfilter.Rule("example.org", "/es/", allow=False),
+    urlfilter.Rule("example.org", "/en/1", allow=False),
+    urlfilter.Rule("com", "/fr/", allow=True),
+    urlfilter.Rule("com", "/de/", allow=False),
+]
+
+
+@cache
+def _url_model() -> urlfilter.UrlModel:
+    return urlfilter.train(urlfilter.example_labels())
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES, _url_model())
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op7_sql() -> str:
+    model = _url_model()
+    shares = " ".join(f"WHEN '{k}' THEN {v:.6f}e0" for k, v in model.shares.items())
+    longest_first = sorted(URL_RULES, key=lambda r: -len(r.text))
+    fits = [(f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')", r) for r in longest_first]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.text}'" for f, r in fits) + " END"
+    verdict = " ".join(f"WHEN {f} THEN '{'allow' if r.allow else 'block'}'" for f, r in fits)
+    features = [*urlfilter.FEATURES[:-1], "suffix_share"]
+    return rf"""
+WITH r AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+f AS (SELECT page_id, host, path, length(url)::DOUBLE AS length, (length(path) - length(replace(path, '/', '')))::DOUBLE AS depth,
+        CASE WHEN url = '' THEN 0e0 ELSE round(length(regexp_replace(url, '[^0-9]', '', 'g')) / length(url)::DOUBLE, 6) END AS digit_ratio,
+        CASE WHEN host = '' THEN 0e0 ELSE round(-list_sum(list_transform(list_distinct(string_split(host, '')), lambda c:
+          (length(host) - length(replace(host, c, ''))) / length(host)::DOUBLE * log2((length(host) - length(replace(host, c, ''))) / length(host)::DOUBLE))), 6) END AS entropy,
+        (length(regexp_extract(url, '\?([^#]*)', 1)) - length(replace(regexp_extract(url, '\?([^#]*)', 1), '=', '')))::DOUBLE AS params,
+        (length(host) - length(replace(host, '-', '')))::DOUBLE AS hyphens, (length(host) - length(replace(host, '.', '')) + 1)::DOUBLE AS labels,
+        list_max(list_transform(string_split(host, '.'), lambda x: length(x)))::DOUBLE AS longest_label,
+        CASE string_split(host, '.')[-1] {shares} ELSE {model.prior:.6f}e0 END AS suffix_share FROM h)
+SELECT page_id, host, path, {rule} AS rule,
+  CASE {verdict} WHEN {trees.total_sql(model.trees, features)} > 0 THEN 'block' ELSE 'allow' END AS verdict
+FROM f
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -140,9 +186,10 @@ QUERIES: dict[str, Query] = {
     "op2_warc": op2_warc,
     "op4_quality": op4_quality,
     "op5_langid": op5_langid,
+    "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_quality": OP4_SQL, "op8_decontaminate": OP8_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_quality": OP4_SQL, "op7_url_filter": _op7_sql(), "op8_decontaminate": OP8_SQL, "op10_line_dedup": OP10_SQL}
