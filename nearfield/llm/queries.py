@@ -192,4 +192,6 @@ QUERIES: dict[str, Query] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_quality": OP4_SQL, "op7_url_filter": _op7_sql(), "op8_decontaminate": OP8_SQL, "op10_line_dedup": OP10_SQL}
+def sql() -> dict[str, str]:
+    """DuckDB SQL by query; learned languages, fingerprints and token ids have none."""
+    return {"op2_warc": OP2_SQL, "op4_quality": OP4_SQL, "op7_url_filter": _op7_sql(), "op8_decontaminate": OP8_SQL, "op10_line_dedup": OP10_SQL}
