@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import ship, stretches
 
+_MARKS = (b".", b",", b"!", b"?", b";", b":")
+
 Piece = tuple[int, int, bytes]  # place of its document, ids before it, its ids as little-endian unsigned 32-bit
 
 
@@ -144,30 +146,70 @@ class Packer:
 class WordTokenizer:
     """Token ids of texts, word by word: this kind of tokenizer never joins what white space divides.
 
-    A bounded cache holds the ids of words, so a text mostly costs look-ups.
+    Two bounded generations of a cache hold the ids of words, so a text mostly costs look-ups: what is in use moves
+    to the young one, and the old one goes when the young one is full.
     """
 
-    def __init__(self, definition: str, most: int = 400_000):
+    def __init__(self, definition: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_str(definition), most
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that end a run of letters
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(self._words(part.split()) for part in stretches((text or "").encode("utf-8", "replace")))
 
     def _words(self, words: list[bytes]) -> bytes:
-        cache = self.cache
-        new = list({w for w in words if w not in cache})
+        cache, old = self.cache, self.old
+        new = {w for w in words if w not in cache}
+        if len(cache) + len(new) > self.most:
+            self.old = old = cache
+            self.cache = cache = {}
+            new = set(words)
         if new:
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                cache[word] = np.array(found.ids, "<u4").tobytes()
+            parts = {}
+            for word in new:
+                known = old.get(word)
+                if known is None:
+                    parts[word] = self._parts(word)
+                else:
+                    cache[word] = known
+            self._learn({p for both in parts.values() for p in both if p and p not in cache})
+            for word, (stem, mark) in parts.items():
+                cache[word] = cache[stem] + cache[mark] if mark else cache[stem]
         return b"".join(map(cache.__getitem__, words))
 
+    def _learn(self, unknown: set[bytes]) -> None:
+        plain, other = [], []
+        for part in unknown:
+            (plain if part.isalpha() or part.decode().isalpha() else other).append(part)
+        if plain:  # one run of letters each, so their ids can be told apart in one text
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(plain):
+                raw = ids.tobytes()
+                for part, first, after in zip(plain, [0, *cuts[:-1]], cuts, strict=True):
+                    self.cache[part] = raw[first:after]
+            else:  # lower case made something else of a letter
+                other += plain
+        if other:
+            for part, found in zip(other, self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False), strict=True):
+                self.cache[part] = np.array(found.ids, "<u4").tobytes()
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes]:
+        """What a word's ids are made of: letters (ASCII ones in lower case, as the tokenizer has them) and one mark
+        after them, which the tokenizer divides from letters. Any other word is left as it is."""
+        stem, mark = (word[:-1], word[-1:]) if word[-1:] in _MARKS else (word, b"")
+        if stem.isalpha():
+            return stem.lower(), mark
+        return (stem, mark) if mark and stem.decode().isalpha() else (word, b"")
+
 
 _tokenizers: dict[int, WordTokenizer] = {}
 
