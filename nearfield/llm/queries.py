@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import decontaminate, langid, linededup, packing, quality, simhash, trees, urlfilter, warc
+from nearfield.llm import decontaminate, langid, linededup, packing, quality, simhash, substring, trees, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ FROM f
 """
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     verdict = docs.select("doc_id", quality.apply_rules(docs).alias("q"))
@@ -184,6 +188,7 @@ FROM documents d LEFT JOIN r USING (doc_id)
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
+    "op3_substring": op3_substring,
     "op4_quality": op4_quality,
     "op5_langid": op5_langid,
     "op7_url_filter": op7_url_filter,
