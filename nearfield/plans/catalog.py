@@ -271,7 +271,7 @@ UNION ALL SELECT '{metric}', 'hierarchical', i * 24 + i * 8 * {P} + r * 8 * {P},
 
 def _renamed(sql: str, metric: str) -> str:
     """The sampling steps under names of their own, so that both metrics fit in one statement."""
-    return re.sub(r"\b(cells|whole|shares|probs|sample|drawn|row)(?= AS \(|$| WHERE|\)| c\b| a\b| b\b| ON\b)", rf"\1_{metric}", sql)
+    return re.sub(r"\b(cells|whole|shares|probs|sample|drawn|row)(?= AS \(|$| WHERE|\)| c\b| a\b| b\b| ON\b| USING\b)", rf"\1_{metric}", sql)
 
 
 _add(
