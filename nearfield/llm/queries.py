@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import decontaminate, langid, linededup, packing, quality, simhash, substring, trees, urlfilter, warc
+from nearfield.llm import decontaminate, langid, linededup, packing, quality, secretscan, simhash, substring, trees, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +81,12 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secretscan.fit(secretscan.example_frame(spark))
+    found = secretscan.redacted(secretscan.scan(_table(spark, sf_dir, "documents"), model))
+    return found.select("doc_id", "nth", "length", "score", "is_secret", "finding_sha256")
+
+
 URL_RULES = [
     urlfilter.Rule("org", "/", allow=True),
     urlfilter.Rule("example.org", "/es/", allow=False),
@@ -191,6 +197,7 @@ QUERIES: dict[str, Query] = {
     "op3_substring": op3_substring,
     "op4_quality": op4_quality,
     "op5_langid": op5_langid,
+    "op6_secret_scan": op6_secret_scan,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
