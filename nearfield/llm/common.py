@@ -106,3 +106,11 @@ def stretches(raw: bytes, length: int = 1 << 20):
             end = found.start() if found else len(raw)
         yield raw[at:end]
         at = end
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Computes ``df`` once and cuts its lineage by a Parquet table in the shared folder: smaller than a checkpoint."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -15,34 +15,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut
+from nearfield.llm.common import cut, stored
 
-_BLANKS = r"[\x20\x09-\x0D]+"
-_ORDER = ["no_id", "id", "d1", "d2", "pos"]
+_BLANKS = r"[\x20\x09\x0B-\x0D]+"
+_TRIM = " \t\x0b\x0c\r"
 
 
-def _hashes(value: Column, names: tuple[str, str]) -> list[Column]:
-    """Two independent 64-bit hashes."""
-    return [F.xxhash64(value).alias(names[0]), F.xxhash64(F.lit("second"), value).alias(names[1])]
+def _key(own: Column, text: Column) -> Column:
+    """A hash of id and text: rows that are equal in both are one document."""
+    return F.xxhash64(own.cast("string"), text)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """no_id, id, d1, d2 (hashes of id and text) and text: rows that are equal in both are one document."""
-    text, own = F.col(text_col).cast("string"), F.col(id_col)
-    return docs.select(own.isNull().alias("no_id"), own.alias("id"), *_keys(own, text), text.alias("text"))
+    text, own = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
+    return docs.select(own.alias("id"), _key(own, text).alias("doc"), text.alias("text"))
 
 
-def _keys(own: Column, text: Column) -> list[Column]:
-    whole = F.struct(own.cast("string"), text)
-    return [F.xxhash64(whole).alias("d1"), F.xxhash64(F.lit("second"), whole).alias("d2")]
+def _lines(documents: DataFrame, min_words: int) -> DataFrame:
+    """Every line with ``min_words`` words or more: its document and place, its words and their hashes."""
+    words = F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.split(F.btrim(x, F.lit(_TRIM)), _BLANKS, -1))
+    rows = documents.select("id", "doc", F.posexplode(words).alias("pos", "words")).where(F.size("words") >= min_words)
+    return rows.select("id", "doc", "pos", "words", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Every line with ``min_words`` words or more: its document and place, its words and their hashes."""
-    rows = _documents(docs, id_col, text_col).select("no_id", "id", "d1", "d2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("norm", F.trim(F.regexp_replace(F.lower("line"), _BLANKS, " "))).drop("line")
-    rows = rows.withColumn("words", F.split("norm", " ", -1)).where((F.size("words") >= min_words) & (F.col("norm") != ""))
-    return rows.select(*_ORDER, F.size("words").alias("n"), "norm", "words", *_hashes(F.col("norm"), ("h1", "h2")))
+def _order() -> Column:
+    """Where a line comes first: by id, nulls last, then by document and place."""
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "doc", "pos")
 
 
 def _half(n: Column) -> Column:
@@ -50,15 +48,16 @@ def _half(n: Column) -> Column:
     return (F.floor(n / 4) * 2).cast("int")
 
 
-def _half_keys(words: Column, n: Column) -> Column:
-    """Hashes of the first and the last words, for the line's own length and, if that compares more, for one less."""
+def _halves(words: Column, n: Column) -> Column:
+    """Hashes of the first and the last words, for the line's own length and, if that compares less, for one less;
+    those of the first words are even numbers, the others odd."""
 
-    def both(p: Column) -> Column:
-        first, last = F.slice(words, F.lit(1), p), F.slice(words, n - p + 1, p)
-        return F.array(F.xxhash64(F.lit("first"), p, F.array_join(first, " ")), F.xxhash64(F.lit("last"), p, F.array_join(last, " ")))
+    def both(p: Column) -> list[Column]:
+        first, last = F.xxhash64(p, F.slice(words, F.lit(1), p)), F.xxhash64(p, F.slice(words, n - p + 1, p))
+        return [first.bitwiseAND(F.lit(-2)), last.bitwiseOR(F.lit(1))]
 
     own, less = _half(n), _half(n - 1)
-    return F.when(own == less, both(own)).otherwise(F.concat(both(own), both(less)))
+    return F.when(own == less, F.array(*both(own))).otherwise(F.array(*both(own), *both(less)))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -80,43 +79,46 @@ def _given(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def _near(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int, most_rows: int) -> DataFrame:
+def _near(documents: DataFrame, lines: DataFrame, near_words: int, most_rows: int) -> DataFrame:
     """(h1, h2) of the different lines that have an earlier line within one edit. ``lines`` has each line once."""
+    line = ["h1", "h2"]
     long = lines.where(F.col("n") >= near_words)
-    keys = long.select("h1", "h2", F.explode("halves").alias("key"))
+    keys = long.select(*line, F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    partners = keys.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    some = cut(long.join(partners, ["h1", "h2"]).select("h1", "h2", "n", "first"))
-    texts = _lines(docs, id_col, text_col, max(min_words, near_words)).drop("n").join(_given(some, most_rows), ["h1", "h2"])
-    texts = texts.where(F.struct(*_ORDER) == F.col("first")).select("h1", "h2", "n", "first", "words").dropDuplicates(["h1", "h2"])
-    texts = cut(texts)
-
-    place = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at")
-    variants = texts.select("h1", "h2", "n", "first", "words", place)
-    left_out = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("at") - 1), F.slice("words", F.col("at") + 1, F.col("n"))), " ")
-    variants = variants.select("h1", "h2", "n", "first", "at", *_hashes(left_out, ("v1", "v2")))
-    line = F.struct("first", "h1", "h2")
-    late = ["h1", "h2"]
-
-    def earlier(rows: DataFrame, other: str) -> DataFrame:
-        """Candidates: a line, and an earlier one."""
-        return rows.where(F.col(f"{other}.first") < F.col("first")).select(*late, F.col(f"{other}.h1").alias("e1"), F.col(f"{other}.h2").alias("e2"))
-
-    place_of = ["v1", "v2", "n", "at"]
-    least = variants.groupBy(*place_of).agg(F.min(line).alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    replaced = earlier(variants.join(least, place_of), "least")
-    # a line with a word more than another: either of the two can be the earlier
-    longer = variants.groupBy(F.col("v1").alias("h1"), F.col("v2").alias("h2"), (F.col("n") - 1).alias("n")).agg(F.min(line).alias("least"))
-    own = texts.select("h1", "h2", "n", "first")
-    put_in = earlier(own.join(longer, ["h1", "h2", "n"]), "least")
-    shorter = own.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), (F.col("n") + 1).alias("n"), line.alias("least"))
-    taken_out = earlier(variants.join(shorter, ["v1", "v2", "n"]), "least")
-
-    pairs = replaced.union(put_in).union(taken_out).distinct()
-    words = texts.select("h1", "h2", F.col("words").alias("own_words"))
-    other = texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("other_words"))
-    checked = pairs.join(words, late).join(other, ["e1", "e2"])
-    return checked.where(within_one_edit(F.col("own_words"), F.col("other_words"))).select(*late).distinct()
+    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
+    partners = keys.join(shared, "key", "left_semi").groupBy(*line).agg(F.bool_or(~odd).alias("head"), F.bool_or(odd).alias("tail"))
+    some = stored(long.join(partners, line).select(*line, "n", "first", "head", "tail"), "partners")
+
+    holders = cut(some.select(F.col("first.doc").alias("doc")).distinct())
+    texts = _lines(documents.join(_given(holders, most_rows), "doc", "left_semi"), near_words).drop("n")
+    texts = texts.join(_given(some, most_rows), line).where(_order() == F.col("first"))
+    words = F.transform("words", lambda w: F.xxhash64(w)).alias("words")
+    texts = stored(texts.select(*line, "n", "head", "tail", words).dropDuplicates(line), "words")
+
+    # only the half that a partner need not share can hold the edit
+    n, p = F.col("n"), _half(F.col("n") - 1)
+    places = F.filter(F.sequence(F.lit(1), n), lambda k: (F.col("head") & (k > p)) | (F.col("tail") & (k <= n - p)))
+    cells = texts.select(*line, "n", "words", F.explode(places).alias("at"))
+    left_out = F.xxhash64(F.concat(F.slice("words", F.lit(1), F.col("at") - 1), F.slice("words", F.col("at") + 1, n)))
+    cells = cells.select(*line, "n", "at", left_out.alias("v"))
+    replaced = F.struct(F.xxhash64("v", "n", "at").alias("key"), F.lit(0).alias("kind"))
+    longer = F.struct(F.xxhash64("v", n - 1, F.lit(0)).alias("key"), F.lit(1).alias("kind"))
+    variants = cells.select(*line, F.explode(F.array(replaced, longer)).alias("x")).select(*line, "x.key", "x.kind")
+    own = texts.select(*line, F.xxhash64(F.xxhash64("words"), "n", F.lit(0)).alias("key"), F.lit(2).alias("kind"))
+    variants = stored(variants.union(own), "variants")
+
+    met = variants.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    hot = variants.join(met, "key", "left_semi").join(some.select(*line, "first"), line)
+    hot = cut(hot.select("key", "kind", F.struct("first", *line).alias("line")))
+    # kind 0: any two are one replaced word apart; kinds 1 and 2: a line with a word more, and the line itself
+    least = hot.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("line"))).alias(f"least{k}") for k in range(3)])
+    rows = hot.join(least, "key")
+    other = F.when(F.col("kind") == 0, F.col("least0")).when(F.col("kind") == 1, F.col("least2")).otherwise(F.col("least1"))
+    rows = rows.withColumn("other", other).where(F.col("other.first") < F.col("line.first"))
+    pairs = rows.select("line.h1", "line.h2", F.col("other.h1").alias("e1"), F.col("other.h2").alias("e2")).distinct()
+    known = texts.select(*line, "words")
+    checked = pairs.join(known, line).join(known.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("other_words")), ["e1", "e2"])
+    return checked.where(within_one_edit(F.col("words"), F.col("other_words"))).select(*line).distinct()
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3, near_words: int = 8, counts: tuple[str, str] | None = None, most_rows: int = 250_000) -> DataFrame:
@@ -125,25 +127,30 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``counts`` names two more columns: lines of the text, and lines taken out. Lines with fewer than ``min_words``
     words always stay. Intermediate tables of at most ``most_rows`` rows are broadcast, larger ones are shuffled.
 
+    Words are compared by 96-bit hashes of lines and 64-bit hashes of words.
+
     Defined cases: a null text stays null and has no lines; an empty text is one line that stays; the order is by id,
     nulls last, then by the text's hash and the place in the text; rows that repeat both id and text are one document
     and get the same text; an empty table stays empty. Columns keep their names and order whatever they are called.
     """
     if near_words < 8:
         raise ValueError("near_words must be 8 at least")
-    rows = _lines(docs, id_col, text_col, min_words)
-    halves = F.when(F.col("n") >= near_words, _half_keys(F.col("words"), F.col("n")))
-    rows = rows.select("h1", "h2", F.struct(*_ORDER).alias("place"), "n", halves.alias("halves"))
-    lines = cut(rows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("n").alias("n"), F.first("halves").alias("halves")))
-    near = _near(docs, lines, id_col, text_col, min_words, near_words, most_rows).withColumn("near", F.lit(True))
-    listed = cut(lines.select("h1", "h2", "first", "last").join(near, ["h1", "h2"], "left").where("near or first != last").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    found = _lines(docs, id_col, text_col, min_words).join(_given(listed, most_rows), ["h1", "h2"])
-    found = found.where(F.col("near") | (F.struct(*_ORDER) != F.col("first")))
-    out = cut(found.groupBy("d1", "d2").agg(F.collect_set("pos").alias("out")))
+    documents = _documents(docs, id_col, text_col)
+    rows = _lines(documents, min_words)
+    rows = stored(rows.select("id", "doc", "pos", "n", "h1", "h2", F.when(F.col("n") >= near_words, _halves(F.col("words"), F.col("n"))).alias("halves")), "lines")
+    lines = rows.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    lines = stored(lines, "distinct-lines")
+    near = _near(documents, lines, near_words, most_rows).withColumn("near", F.lit(True))
+    listed = lines.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("near or times > 1")
+    listed = cut(listed.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    found = rows.select("id", "doc", "pos", "h1", "h2").join(_given(listed, most_rows), ["h1", "h2"])
+    found = found.where(F.col("near") | (_order() != F.col("first")))
+    out = cut(found.groupBy("id", "doc").agg(F.collect_set("pos").alias("out")))
 
     names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_keys(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")))
-    joined = whole.join(_given(out, most_rows), ["d1", "d2"], "left")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("_id"), _key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).alias("_doc"))
+    some = _given(out, most_rows)
+    joined = whole.join(some, (whole["_doc"] == some["doc"]) & whole["_id"].eqNullSafe(some["id"]), "left")
     text = F.col("row").getField(text_col)
     parts = F.split(text.cast("string"), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("out"))
