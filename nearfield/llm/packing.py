@@ -143,6 +143,11 @@ class Packer:
                     left -= size
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word is letters and stays so in lower case."""
+    return word.isalpha() or word.decode().lower().isalpha()
+
+
 class WordTokenizer:
     """Token ids of texts, word by word: this kind of tokenizer never joins what white space divides.
 
@@ -187,7 +192,7 @@ class WordTokenizer:
     def _learn(self, unknown: set[bytes]) -> None:
         plain, other = [], []
         for part in unknown:
-            (plain if part.isalpha() or part.decode().isalpha() else other).append(part)
+            (plain if _letters(part) else other).append(part)
         if plain:  # one run of letters each, so their ids can be told apart in one text
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
@@ -195,7 +200,7 @@ class WordTokenizer:
                 raw = ids.tobytes()
                 for part, first, after in zip(plain, [0, *cuts[:-1]], cuts, strict=True):
                     self.cache[part] = raw[first:after]
-            else:  # lower case made something else of a letter
+            else:  # the tokenizer has other letters
                 other += plain
         if other:
             for part, found in zip(other, self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False), strict=True):
@@ -208,7 +213,7 @@ class WordTokenizer:
         stem, mark = (word[:-1], word[-1:]) if word[-1:] in _MARKS else (word, b"")
         if stem.isalpha():
             return stem.lower(), mark
-        return (stem, mark) if mark and stem.decode().isalpha() else (word, b"")
+        return (stem, mark) if mark and _letters(stem) else (word, b"")
 
 
 _tokenizers: dict[int, WordTokenizer] = {}

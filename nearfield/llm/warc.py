@@ -53,7 +53,7 @@ def directory(file: pa.NativeFile) -> list[Member]:
     total = file.size()
     tail_at = max(0, total - 22 - _FULL16)
     tail = read_at(file, tail_at, total - tail_at)
-    end = tail.rfind(_END)
+    end = tail.rfind(_END, 0, max(0, len(tail) - 18))  # a whole record must fit behind it
     while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):  # a comment can hold the mark
         end = tail.rfind(_END, 0, end)
     if end < 0:
