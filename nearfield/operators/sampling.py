@@ -49,7 +49,7 @@ def importance_probabilities(refs: DataFrame, metric: str = "l2", policy: str =
     pairs = pairs.select(F.col("a.ref_id").alias("p"), F.col("b.ref_id").alias("q"), F.col("a.j").alias("j"), (gap if metric == "l1" else gap * gap).alias("part"))
     ids = refs.select("ref_id", "vec")
     whole = ids.alias("a").join(ids.alias("b"), F.col("a.ref_id") < F.col("b.ref_id")).select(F.col("a.ref_id").alias("p"), F.col("b.ref_id").alias("q"), vectors.distance(metric)(F.col("a.vec"), F.col("b.vec")).alias("whole"))
-    shares = pairs.join(whole.where("whole > 0"), ["p", "q"]).groupBy("j").agg(F.max(F.col("part") * (1 / F.col("whole"))).alias("prob"))
+    shares = pairs.join(whole.where("whole > 0"), ["p", "q"]).groupBy("j").agg(F.max(F.col("part") * F.try_divide(F.lit(1.0), F.col("whole"))).alias("prob"))
     return every.join(shares, "j", "left").select("j", F.least(F.lit(1.0), F.coalesce("prob", F.lit(0.0))).alias("prob"))
 
 
@@ -111,7 +111,7 @@ def coordinate_sample(probs: DataFrame, repetitions: int, seed: int) -> DataFram
     """(j, multiplicity, inv_prob) of the coordinates drawn at least once in ``repetitions`` independent rounds."""
     rounds = F.sequence(F.lit(1), F.lit(repetitions)) if repetitions > 0 else F.array().cast("array<int>")
     drawn = F.size(F.filter(rounds, lambda t: hashed_uniform("sample", seed, F.col("j"), t) < F.col("prob")))
-    rows = checked(probs).where("prob > 0").select("j", drawn.cast("bigint").alias("multiplicity"), (1 / F.col("prob")).alias("inv_prob"))
+    rows = checked(probs).where("prob > 0").select("j", drawn.cast("bigint").alias("multiplicity"), F.try_divide(F.lit(1.0), F.col("prob")).alias("inv_prob"))
     return rows.where("multiplicity > 0")
 
 
