@@ -38,10 +38,14 @@ def weighted_l1_distance(a: Column, b: Column, weights: Column) -> Column:
 
 def median_abs_difference(a: Column, b: Column) -> Column:
     """Median of absolute differences; of an even number the lower middle plus half the gap."""
-    ranked, n = F.array_sort(_differences(a, b, F.abs)), F.size(a)
-    high = F.get(ranked, F.floor(n / 2).cast("int"))
-    low = F.get(ranked, (F.floor(n / 2) - 1).cast("int"))
-    return F.when(n % 2 == 1, high).otherwise(low + (high - low) * 0.5)
+    n = F.size(a)
+
+    def middle(ranked: Column) -> Column:
+        high, low = F.get(ranked, F.floor(n / 2).cast("int")), F.get(ranked, (F.floor(n / 2) - 1).cast("int"))
+        return F.when(n % 2 == 1, high).otherwise(low + (high - low) * 0.5)
+
+    # the lambda's argument is sorted once, however often it is used
+    return F.get(F.transform(F.array(F.array_sort(_differences(a, b, F.abs))), middle), 0)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -62,16 +62,23 @@ class NearestNeighborIndex:
             elif probs is None:
                 probs = sampling.importance_probabilities(refs, s.metric, policy)
             sample = sampling.coordinate_sample(probs, s.repetitions, s.seed)
-        self.sample = sampling.validated(sample)
+        self.sample = sampling.validated(sample).persist()
         if s.family == "hierarchical":
             if refs.limit(2).count() > 1 and self.sample.limit(1).count() == 0:
                 raise ValueError("the coordinate sample is empty")
-            self.matrix = sampling.projection(self.sample, s.metric, s.projection_dimension, s.seed)
-            self.reduced = sampling.projected(refs.select("ref_id", "vec"), self.sample, self.matrix)
+            self.matrix = sampling.projection(self.sample, s.metric, s.projection_dimension, s.seed).persist()
+            reduced = sampling.projected(refs.select("ref_id", "vec"), self.sample, self.matrix)
         else:
-            self.reduced = sampling.embedded(refs.select("ref_id", "vec"), self.sample, s.metric)
+            reduced = sampling.embedded(refs.select("ref_id", "vec"), self.sample, s.metric)
+        self.reduced = reduced.persist()
         return self
 
+    def close(self) -> None:
+        """Lets go of the index tables, which :meth:`fit` keeps so that each batch of queries finds them ready."""
+        for table in (self.sample, self.matrix, self.reduced if self.sample is not None else None):
+            if table is not None:
+                table.unpersist()
+
     def transform(self, queries: DataFrame) -> DataFrame:
         """(query_id, ref_id, dist) with dist in the index's own space; the lowest id wins ties."""
         s, rows = self.settings, queries.select("query_id", "vec")

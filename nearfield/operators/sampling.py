@@ -144,7 +144,8 @@ def embedded(df: DataFrame, sample: DataFrame, metric: str) -> DataFrame:
     row = as_row(sample)
     row = row.select("places", (scales() if metric == "l2" else weights()).alias("_w"))
     wide = df.crossJoin(F.broadcast(row))
-    own = vectors.checked_finite(vectors.gather(F.col("vec"), F.col("places")), "a sampled vector").cast("array<float>")
+    wide = wide.withColumn("_own", vectors.gather(F.col("vec"), F.col("places")))
+    own = vectors.checked_finite(F.col("_own"), "a sampled vector").cast("array<float>")
     vec = F.zip_with(own, F.col("_w"), lambda v, s: v * s) if metric == "l2" else own
     kept = [c for c in df.columns if c != "vec"]
     out = wide.select(*kept, vec.alias("vec"), *([] if metric == "l2" else [F.col("_w").alias("weights")]))
@@ -173,8 +174,9 @@ def projected(df: DataFrame, sample: DataFrame, matrix: DataFrame) -> DataFrame:
     rows = matrix.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("j", "coef"))).alias("r"))
     row = rows.agg(F.sort_array(F.collect_list(F.struct("k", F.col("r.coef").alias("coefs")))).alias("m")).select(F.col("m.coefs").alias("_m"))
     wide = df.crossJoin(F.broadcast(as_row(sample).select("places"))).crossJoin(F.broadcast(row))
-    own = vectors.checked_finite(vectors.gather(F.col("vec"), F.col("places")), "a sampled vector")
     kept = [c for c in df.columns if c != "vec"]
-    wide = wide.withColumn("_own", own)
-    vec = F.transform("_m", lambda r: vectors.dot(r, F.col("_own")))
-    return wide.select(*kept, vectors.checked_finite(vec, "a projection").alias("vec"))
+    # each step is a column of its own, so that no expression is worked out twice
+    wide = wide.withColumn("_own", vectors.gather(F.col("vec"), F.col("places")))
+    wide = wide.withColumn("_own", vectors.checked_finite(F.col("_own"), "a sampled vector"))
+    wide = wide.withColumn("_vec", F.transform("_m", lambda r: vectors.dot(r, F.col("_own"))))
+    return wide.select(*kept, vectors.checked_finite(F.col("_vec"), "a projection").alias("vec"))

@@ -17,6 +17,7 @@ from nearfield.functions import vectors
 
 STRATEGIES = ("automatic", "array_scan", "relational", "parallel_references", "direct", "gemm")
 _BLOCK_BYTES = 64 << 20
+_WIDE = 1 << 16  # values of all references together from which numpy beats expressions
 
 
 def nearest(queries: DataFrame, refs: DataFrame, metric: str = "l2", strategy: str = "automatic", measure=None) -> DataFrame:
@@ -24,7 +25,8 @@ def nearest(queries: DataFrame, refs: DataFrame, metric: str = "l2", strategy: s
 
     array_scan keeps all references in one broadcast row and needs no shuffle; relational joins and aggregates;
     parallel_references deals the references into blocks and merges partial minima; direct and gemm run in numpy
-    (gemm for L2 only: in single precision and by the norm identity, so near ties can fall the other way).
+    (gemm for L2 only: in single precision and by the norm identity, so near ties can fall the other way). automatic
+    takes array_scan for small sets, direct for wide ones and parallel_references for those too large to broadcast.
     ``measure`` overrides the distance expression of the first three.
     """
     if strategy not in STRATEGIES:
@@ -32,7 +34,11 @@ def nearest(queries: DataFrame, refs: DataFrame, metric: str = "l2", strategy: s
     if strategy == "gemm" and metric == "l1":
         raise ValueError("l1 has no matrix product form")
     if strategy == "automatic":
-        strategy = "array_scan" if _bytes(refs) <= _BLOCK_BYTES else "parallel_references"
+        size = _bytes(refs)
+        if measure is None and 8 * _WIDE < size <= 16 * _BLOCK_BYTES:
+            strategy = "direct"
+        else:
+            strategy = "array_scan" if size <= _BLOCK_BYTES else "parallel_references"
     if strategy in ("direct", "gemm"):
         return _numpy(queries, refs, metric, strategy)
     of = measure or vectors.distance(metric)
