@@ -279,3 +279,21 @@ def images(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["path", "width", "height", "vec"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, width int, height int, vec array<float>")
+
+
+def extract_archive(path: str, folder: str, most_bytes: int = 1 << 32, most_files: int = 100_000) -> list[str]:
+    """Extracts a tar archive's plain files below ``folder``; an error, before anything is written, for a path that
+    leaves it, a link or device, a name that comes twice, or more bytes or files than allowed."""
+    import tarfile
+
+    top = os.path.realpath(folder)
+    with tarfile.open(path) as archive:
+        members = [m for m in archive if not m.isdir()]
+        names = [os.path.realpath(os.path.join(top, m.name)) for m in members]
+        if any(not m.isfile() for m in members) or any(not n.startswith(top + os.sep) for n in names):
+            raise ValueError("the archive holds a member that may not be extracted")
+        if len(set(names)) != len(names) or len(names) > most_files or sum(m.size for m in members) > most_bytes:
+            raise ValueError("the archive holds a name twice, or too much")
+        for m in members:
+            archive.extract(m, top, filter="data")
+    return sorted(names)
