@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearfield.functions.shipping import ship
+
 
 def _place(seed: int, key: Column) -> Column:
     """A hash that shuffles rows the same way for a seed, wherever they are."""
@@ -150,6 +152,7 @@ def sub_centroids(pool: DataFrame, per_class: int, features: int = 256, iteratio
         rows = [(label, n, int((own == c).sum()), x[own == c].mean(axis=0).astype(np.float32)) for n, c in enumerate(order)]
         return pd.DataFrame(rows, columns=["label", "cluster", "size", "vec"])
 
+    ship(pool.sparkSession)
     return pool.select("vec_id", "label", "vec").groupBy("label").applyInPandas(split, "label int, cluster int, size int, vec array<float>")
 
 

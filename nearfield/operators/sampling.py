@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors
+from nearfield.functions.shipping import ship
 from nearfield.functions.vectors import hashed_uniform
 from nearfield.operators.scan import collected
 
@@ -58,6 +59,7 @@ def _blocked(refs: DataFrame, metric: str, policy: str, step: int) -> DataFrame:
     if size > _BROADCAST_BYTES:
         raise ValueError("too many references to broadcast: use the relational policy on a coordinate-blocked table")
     spark = refs.sparkSession
+    ship(spark)
     _, matrix = collected(refs)
     shared = spark.sparkContext.broadcast(matrix)
     blocks = max(1, -(-len(matrix) // step))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors
+from nearfield.functions.shipping import ship
 
 STRATEGIES = ("automatic", "array_scan", "relational", "parallel_references", "direct", "gemm")
 _BLOCK_BYTES = 64 << 20
@@ -82,6 +83,7 @@ def _numpy(queries: DataFrame, refs: DataFrame, metric: str, strategy: str) -> D
     ids, r = collected(refs)
     if not len(ids):
         raise ValueError("there are no references")
+    ship(queries.sparkSession)
     shared = queries.sparkSession.sparkContext.broadcast((ids, r))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from nearfield.functions.shipping import ship
+
 # Fixed values of the file formats.
 NPY_MAGIC = b"\x93NUMPY"
 PROBABILITY_MAGIC = b"UHANNPR2"
@@ -85,11 +87,13 @@ class NpyReader(DataSourceReader):
 
 
 def read_matrix(spark: SparkSession, path: str, id_col: str = "ref_id") -> DataFrame:
+    ship(spark)
     spark.dataSource.register(NpySource)
     return spark.read.format("npy").load(path).withColumnRenamed("row_id", id_col)
 
 
 def read_labels(spark: SparkSession, path: str, id_col: str = "ref_id") -> DataFrame:
+    ship(spark)
     spark.dataSource.register(NpySource)
     return spark.read.format("npy").option("labels", "true").load(path).withColumnRenamed("row_id", id_col)
 
@@ -215,6 +219,7 @@ def feature_table(spark: SparkSession, path: str) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["feature_index", "feature", "sample", "value"])
 
+    ship(spark)
     return spark.read.text(path).coalesce(1).mapInArrow(run, "feature_index bigint, feature string, sample string, value double")
 
 
@@ -278,6 +283,7 @@ def images(spark: SparkSession, path: str) -> DataFrame:
             columns = [batch.column(0), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["path", "width", "height", "vec"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, width int, height int, vec array<float>")
 
 
