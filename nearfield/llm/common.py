@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
-import weakref
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.functions.shipping import ship  # noqa: F401  the operators take it from here
+
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
-_shipped: "weakref.WeakSet[object]" = weakref.WeakSet()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,23 +42,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that workers can import it."""
-    context = spark.sparkContext
-    if context in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="nearfield-"), "nearfield.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(top)))
-    context.addPyFile(path)
-    _shipped.add(context)
-
-
 def lower_ascii(column):
     """A-Z to a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
