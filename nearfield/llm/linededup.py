@@ -32,9 +32,9 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(documents: DataFrame, min_words: int) -> DataFrame:
-    """Every line with ``min_words`` words or more: its document and place, its words and their hashes."""
+    """Every line with ``min_words`` words or more, and one at least: its document and place, its words and their hashes."""
     words = F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.split(F.btrim(x, F.lit(_TRIM)), _BLANKS, -1))
-    rows = documents.select("id", "doc", F.posexplode(words).alias("pos", "words")).where(F.size("words") >= min_words)
+    rows = documents.select("id", "doc", F.posexplode(words).alias("pos", "words")).where((F.size("words") >= min_words) & (F.get("words", F.lit(0)) != ""))
     return rows.select("id", "doc", "pos", "words", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
 
 
