@@ -194,6 +194,18 @@ def test_substring_finds_all_equal_passages(spark):
     assert substring.repeated(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_substring_finds_near_passages(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        passage = words(rng, 51, 100_000).split()
+        copy = passage[:]
+        copy[25] = "changed"  # the aligned sub-sequences share 41 shingles of 46 and 46: a similarity of 0.8
+        rows += [(2 * k, words(rng, 60, 100_000) + " " + " ".join(passage)), (2 * k + 1, " ".join(copy) + " " + words(rng, 60, 100_000))]
+    found = {(r.id, r.other) for r in substring.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {tuple(sorted(p)) for p in found} <= {(2 * k, 2 * k + 1) for k in range(60)} and len(found) >= 55
+
+
 def test_sliding_minimum():
     rng = np.random.default_rng(0)
     for n, w in ((5, 5), (17, 4), (100, 7)):
