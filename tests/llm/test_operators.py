@@ -206,6 +206,21 @@ def test_substring_finds_near_passages(spark):
     assert {tuple(sorted(p)) for p in found} <= {(2 * k, 2 * k + 1) for k in range(60)} and len(found) >= 55
 
 
+def test_substring_rows_leave_by_their_own_passage(spark):
+    rng = random.Random(22)
+    rows = []
+    for k in range(0, 90, 3):
+        header, passage = words(rng, 60, 100_000), words(rng, 50, 100_000)
+        other = passage.split()
+        other[20] = other[23] = "changed"  # shares keys with the passage, but isn't similar enough
+        rows.append((k, header + " " + words(rng, 70, 100_000) + " " + " ".join(other)))
+        rows += [(k + d, header + " " + words(rng, 70, 100_000) + " " + passage) for d in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeated(docs, hashes=1, bands=1, rounds=1).collect()}
+    for k in range(0, 90, 3):
+        assert all(any(start <= 130 and end >= 180 for start, end in spans[k + d]) for d in (1, 2))
+
+
 def test_sliding_minimum():
     rng = np.random.default_rng(0)
     for n, w in ((5, 5), (17, 4), (100, 7)):
