@@ -16,7 +16,17 @@ from nearfield.llm import trees
 from nearfield.llm.urlfilter import _entropy
 
 # What a candidate looks like, words that announce a secret, words that a placeholder is made of.
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}"
+# A candidate is a value of any length and characters that is assigned to an announcing word, a password in a URL, a
+# bearer token, a string with a known prefix, or a long string with a digit anywhere.
+_WORDS = r"(?i:pass|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer|login|user)[\w-]{0,16}"
+_SIGN = r"[\"'`]?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}"
+_QUOTED = [rf"(?<=[:=>][ \t]{{0,3}}{q})(?<={_WORDS}{_SIGN}{q})[^{q}\n]+(?={q})" for q in "\"'`"]
+_BARE = rf"(?<=[:=>][ \t]{{0,3}}[\"'`]?)(?<={_WORDS}{_SIGN}[\"'`]?)(?![:=>])[^\s\"'`]*[^\s\"'`,;.!?)\]]"
+_IN_URL = r"(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/@]+(?=@)"
+_BEARER = r"(?<= )(?<=(?i:\bbearer) )[^\s\"'`,;]+"
+_PREFIXED = r"(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_+/-])|(?:gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_live_|sk-|AIza|npm_|hf_)[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++)"
+_LONG = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+={0,2}"
+CANDIDATE = "|".join([*_QUOTED, _BARE, _IN_URL, _BEARER, _PREFIXED, _LONG])
 ANNOUNCING = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer|login)"
 DICTIONARY = (
     "example", "sample", "test", "dummy", "change", "changeme", "password", "secret", "token", "your", "here", "key", "api", "user", "admin",
@@ -105,6 +115,9 @@ def fit(labelled: DataFrame, most_rows: int = 5_000) -> SecretModel:
 def scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate: id, nth (its place among the text's candidates), finding, before, after, score, is_secret.
 
+    A value that is assigned to an announcing word, and one with a known prefix, is a candidate whatever its length and
+    characters; any other string has 12 characters or more and a digit somewhere.
+
     Defined cases: null and empty texts have no candidates; whole texts are read and a candidate has any length; a
     text that holds the two private-use characters U+E000 and U+E001 is read as if they were blanks; ids may be null
     or repeated, each row is a text of its own; an empty table gives no rows; other columns are not read.
@@ -161,6 +174,45 @@ def example_labels(count: int = 1_600, seed: int = 5) -> list[tuple[str, str, st
         else:
             value = draw(low, rng.integers(4, 9)) + str(rng.choice(["-", "_"])) + draw(low, rng.integers(4, 9)) + draw(digits, 2)
         out.append((value, before[-_BEFORE:], after[:_AFTER], 0))
+    return out + _assigned_labels(count // 2, seed + 1)
+
+
+def _assigned_labels(count: int, seed: int) -> list[tuple[str, str, str, int]]:
+    """Labelled values behind an announcing word: short passwords, pass phrases and keys without a digit; and words,
+    numbers, variables and masks."""
+    rng = np.random.default_rng(seed)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), int(n)))
+    low, digits, signs = "abcdefghijklmnopqrstuvwxyz", "0123456789", "!@#$%^&*?"
+    words = lambda n, by=" ": by.join(draw(low, rng.integers(3, 9)) for _ in range(int(n)))
+    keys = ["password", "passwd", "pwd", "secret", "token", "api_key", "auth_token", "PASSWORD", "login"]
+    out = []
+    for k in range(count):
+        before, after = words(6) + " ", " " + words(2)
+        quote = str(rng.choice(["", '"', "'"]))
+        kind = k % 8
+        if kind == 0:
+            value = draw(low, rng.integers(4, 8)) + draw(digits, rng.integers(1, 4))
+        elif kind == 1:
+            letters = list(draw(low, 4) + draw(low.upper(), 2) + draw(digits, rng.integers(1, 3)) + draw(signs, rng.integers(1, 3)))
+            value = "".join(rng.permutation(letters))
+        elif kind == 2:
+            value = words(rng.integers(3, 6), str(rng.choice(["-", "_", "."])))
+        elif kind == 3:
+            value = "AKIA" + draw(low.upper(), 16) if rng.random() < 0.5 else draw(low + low.upper(), rng.integers(16, 40))
+        elif kind == 4:
+            value = draw(low, rng.integers(2, 11))
+        elif kind == 5:
+            value = draw(digits, rng.integers(1, 6))
+        elif kind == 6:
+            name = str(rng.choice(["password", "token", "secret", "your_key", "value"]))
+            value = str(rng.choice(["${%s}", "<%s>", "{{%s}}", "$%s", "%%%s%%"])) % (name.upper() if rng.random() < 0.5 else name)
+        else:
+            value = str(rng.choice(["****", "********", "xxxx", "none", "null", "changeme", "example", "test", "your-password-here", "required"]))
+        if kind == 3 and value.startswith("AKIA"):
+            quote = ""
+        else:
+            before += str(rng.choice(keys)) + str(rng.choice(["=", " = ", ": ", ":"])) + quote
+        out.append((value, before[-_BEFORE:], (quote + after)[:_AFTER], int(kind < 4)))
     return out
 
 
