@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-from nearfield.functions.shipping import ship  # noqa: F401  the operators take it from here
+from nearfield.functions import shipping
 
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, and where the session leaves Arrow batches at their default of 64 MiB has
+    smaller ones: a worker holds several copies of a batch."""
+    shipping.ship(spark)
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":
+        spark.conf.set(_BATCH_BYTES, "4m")
+
+
+def give_back() -> None:
+    """Returns to the machine what this process's allocators keep for later."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such function
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, whose worker keeps little afterwards: it may wait long for another task."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (unit tests on one machine) a temporary folder is made and set.
+    Only where the session names none and runs on one machine (unit tests) a temporary folder is made and set; on a
+    cluster that is an error, because its machines would not share that folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -27,6 +63,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -95,3 +133,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _bytes(column: Column, kind: DataType) -> Column:
+    """About the bytes that a value takes."""
+    if isinstance(kind, StructType):
+        return sum((_bytes(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        each = 8 * len(kind.elementType.fields) + 16 if isinstance(kind.elementType, StructType) else 8
+        return F.greatest(F.size(column), F.lit(0)) * each + 24
+    return F.lit(8)
+
+
+def given(df: DataFrame, most_rows: int = 250_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """``df``, a computed table, to be broadcast if it has at most so many rows and bytes; else it is left to a shuffle."""
+    if df.limit(most_rows + 1).count() > most_rows:
+        return df
+    size = df.agg(F.coalesce(F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8)).cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most_bytes else df
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a :func:`stored` table that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

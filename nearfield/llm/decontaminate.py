@@ -16,7 +16,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, ship
+from nearfield.llm.common import cut, give_back, lean, ship
 
 
 def _letter(byte: int) -> int:
@@ -147,8 +147,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     nothing = [F.array().cast(_SPANS).alias("places"), F.array().cast("array<string>").alias("items")]
     state = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *nothing)
     for windows in shared[:-1]:
-        state = state.mapInArrow(_pass_on(windows), f"id {kind}, text string, places {_SPANS}, items array<string>")
-    state = state.mapInArrow(_finish(shared[-1]), f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans {_SPANS}")
+        state = state.mapInArrow(lean(_pass_on(windows)), f"id {kind}, text string, places {_SPANS}, items array<string>")
+    state = state.mapInArrow(lean(_finish(shared[-1])), f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans {_SPANS}")
     return state.withColumnRenamed("id", id_col)
 
 
@@ -164,7 +164,9 @@ def _holds(shared: Broadcast):
     @F.arrow_udf("boolean")
     def holds(texts: pa.Array) -> pa.Array:
         scanner = _scanner(shared)
-        return pa.array([bool(scanner.scan(words_of(x.as_py()))[0]) for x in texts], pa.bool_())
+        held = pa.array([bool(scanner.scan(words_of(x.as_py()))[0]) for x in texts], pa.bool_())
+        give_back()
+        return held
 
     return holds
 

@@ -13,15 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ship
+from nearfield.llm.common import cut, give_back, given, lean, ship
 
 BITS = 14
 SIZES = (2, 3, 4)
 _FOLD = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_STRETCH = 1 << 20
+_STRETCH = 1 << 16
 UNKNOWN = "und"
 
 
@@ -55,13 +56,15 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModel:
-    """``table`` has each bucket's embedding times the softmax weights: the average of its rows is a text's logits."""
+    """The average of ``table`` rows, times ``head``, is a text's logits. With few languages ``table`` has the
+    embeddings times the softmax weights already and there is no ``head``, so its width never passes the embeddings'."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    head: np.ndarray | None = None
 
     def logits(self, text: str) -> np.ndarray:
         total, count = np.zeros(self.table.shape[1], np.float64), 0
@@ -71,7 +74,8 @@ class LanguageModel:
             else:
                 total += np.ones(len(part), np.float32) @ self.table.take(part, axis=0)
             count += len(part)
-        return total / max(1, count) + self.bias
+        mean = total / max(1, count)
+        return (mean if self.head is None else mean @ self.head) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, rejected."""
@@ -114,45 +118,52 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dimension: int = 16, e
             weights -= step * np.outer(hidden, error)
             bias -= 0.1 * step * error
             embedding[own] -= (20 * step) * share[:, None] * back
-    table = embedding @ weights
-    logits = np.array([rows[k][2] @ table[rows[k][1]] + bias for k in held])
+    table, head = (embedding @ weights, None) if len(languages) <= dimension else (embedding, weights)
+    means = np.array([rows[k][2] @ table[rows[k][1]] for k in held])
+    logits = (means if head is None else means @ head) + bias
     truth = np.array([labels[rows[k][0]] for k in held])
     best = min(np.geomspace(0.25, 8, 41), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean())
     p = _softmax(logits / best)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
     threshold = min(0.5, float(np.quantile(right, 0.005))) if len(right) else 0.5
-    return LanguageModel(languages, table.astype(np.float32), bias.astype(np.float64), float(best), threshold)
+    return LanguageModel(languages, table.astype(np.float32), bias.astype(np.float64), float(best), threshold, head)
 
 
 def _features_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(label.as_py(), *features(text.as_py())) for label, text in zip(batch.column(0), batch.column(1), strict=True) if has_letter(text.as_py())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float32()))],
-            names=["label", "own", "share"],
-        )
+        at = [xxhash.xxh64_intdigest(own.tobytes() + share.tobytes()) >> 1 for _, own, share in rows]
+        columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float32())), pa.array(at, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "own", "share", "at"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, per_language: int = 400, most_languages: int = 200) -> LanguageModel:
-    """Trains on a sample of ``labelled``: about ``per_language`` rows of each of its ``most_languages`` commonest values.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, per_language: int = 400, most_rows: int = 40_000) -> LanguageModel:
+    """Trains on a sample of ``labelled``: about ``per_language`` rows of each of its languages, or as many fewer of
+    each as keep the whole sample at ``most_rows`` expected; every language takes part, with 16 rows expected at least.
 
-    The sample is what bounds the driver's memory: it gets bucket counts of at most twice that many rows, never
-    texts. ``key`` deals the rows at random (default: the text's hash); it is no feature.
+    The sample is what bounds the driver's memory: it gets bucket counts of those rows, as Arrow arrays, never texts.
+    ``key`` deals the rows at random (default: the text's hash); it is no feature.
     """
     spark = labelled.sparkSession
     ship(spark)
     rows = labelled.select(F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), (F.xxhash64(F.col(text_col)) if key is None else key).alias("key"))
     rows = rows.where("label is not null and text is not null")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_languages).collect()}
-    if not counts:
+    counts = cut(rows.groupBy("label").agg(F.count("*").alias("n")))  # a row for each language
+    languages = counts.count()
+    if not languages:
         return train([])
+    each = max(16, min(per_language, most_rows // languages))
     place = F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for label, n in counts.items():
-        chosen = chosen | ((F.col("label") == label) & (place < min(1.0, per_language / n)))
-    sample = rows.where(chosen).limit(2 * per_language * len(counts)).select("label", "text").mapInArrow(_features_batches, "label string, own array<int>, share array<float>")
-    found = sorted((r["label"], tuple(r["own"]), tuple(r["share"])) for r in sample.collect())
-    return train([(label, np.array(own, np.int32), np.array(share, np.float32)) for label, own, share in found])
+    chosen = rows.join(given(counts), "label").where(place < each / F.col("n"))
+    sample = chosen.limit(2 * each * languages).select("label", "text").mapInArrow(lean(_features_batches), "label string, own array<int>, share array<float>, at bigint")
+    found = sample.toArrow().sort_by([("label", "ascending"), ("at", "ascending")]).combine_chunks()
+    if not found.num_rows:
+        return train([])
+    labels = found.column("label").to_pylist()
+    own, share = (found.column(c).combine_chunks() for c in ("own", "share"))
+    ends = own.offsets.to_numpy()
+    flat, shares = own.values.to_numpy(), share.values.to_numpy()
+    return train([(label, flat[a:b], shares[a:b]) for label, a, b in zip(labels, ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
 
 
 _KIND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
@@ -161,15 +172,18 @@ _KIND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("reject
 def predicted(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Column:
     """A struct of lang_pred, score and rejected for the text column of ``df``.
 
-    Null texts and texts without a letter are ``und`` with score 0 and rejected; texts of any length are read whole.
+    Null texts and texts without a letter are ``und`` with score 0 and rejected; texts of any length are read whole;
+    equal texts get equal verdicts and rows that repeat each their own; an empty table has none; no other column is
+    read, whatever it is called.
     """
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and most_languages
+    shared = df.sparkSession.sparkContext.broadcast(model)  # a table of fixed size, and a row of weights for each language
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def predict(texts: pa.Array) -> pa.Array:
         own = shared.value
         rows = [own.predict(x.as_py()) for x in texts]
+        give_back()
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [(), (), ()], _KIND, strict=True)], fields=list(_KIND))
 
     return predict(F.col(text_col).cast("string"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, stored
+from nearfield.llm.common import cut, given, stored
 
 _BLANKS = r"[\x20\x09\x0B-\x0D]+"
 _TRIM = " \t\x0b\x0c\r"
@@ -74,11 +74,6 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.greatest(F.size(a), F.size(b)) - first - last <= 1
 
 
-def _given(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df``, a computed table, to be broadcast if it has at most ``most_rows`` rows."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def _near(documents: DataFrame, lines: DataFrame, near_words: int, most_rows: int) -> DataFrame:
     """(h1, h2) of the different lines that have an earlier line within one edit. ``lines`` has each line once."""
     line = ["h1", "h2"]
@@ -90,8 +85,8 @@ def _near(documents: DataFrame, lines: DataFrame, near_words: int, most_rows: in
     some = stored(long.join(partners, line).select(*line, "n", "first", "head", "tail"), "partners")
 
     holders = cut(some.select(F.col("first.doc").alias("doc")).distinct())
-    texts = _lines(documents.join(_given(holders, most_rows), "doc", "left_semi"), near_words).drop("n")
-    texts = texts.join(_given(some, most_rows), line).where(_order() == F.col("first"))
+    texts = _lines(documents.join(given(holders, most_rows), "doc", "left_semi"), near_words).drop("n")
+    texts = texts.join(given(some, most_rows), line).where(_order() == F.col("first"))
     words = F.transform("words", lambda w: F.xxhash64(w)).alias("words")
     texts = stored(texts.select(*line, "n", "head", "tail", words).dropDuplicates(line), "words")
 
@@ -143,13 +138,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = _near(documents, lines, near_words, most_rows).withColumn("near", F.lit(True))
     listed = lines.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("near or times > 1")
     listed = cut(listed.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    found = rows.select("id", "doc", "pos", "h1", "h2").join(_given(listed, most_rows), ["h1", "h2"])
+    found = rows.select("id", "doc", "pos", "h1", "h2").join(given(listed, most_rows), ["h1", "h2"])
     found = found.where(F.col("near") | (_order() != F.col("first")))
     out = cut(found.groupBy("id", "doc").agg(F.collect_set("pos").alias("out")))
 
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("_id"), _key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).alias("_doc"))
-    some = _given(out, most_rows)
+    some = given(out, most_rows)
     joined = whole.join(some, (whole["_doc"] == some["doc"]) & whole["_id"].eqNullSafe(some["id"]), "left")
     text = F.col("row").getField(text_col)
     parts = F.split(text.cast("string"), "\n", -1)

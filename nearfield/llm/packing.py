@@ -20,7 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ship, stretches
+from nearfield.llm.common import lean, ship, stretches
 
 _MARKS = (b".", b",", b"!", b"?", b";", b":")
 
@@ -302,4 +302,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), schema + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)

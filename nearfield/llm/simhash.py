@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import connected_components, cut, ship
+from nearfield.llm.common import connected_components, cut, lean, ship
 
 _BITS = 64
 _BLOCK = 1 << 16
@@ -58,7 +58,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fingerprint bigint")
+    return rows.mapInArrow(lean(run), f"id {kind}, fingerprint bigint")
 
 
 def _segments(count: int) -> list[tuple[int, int]]:
