@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -156,8 +157,11 @@ def given(df: DataFrame, most_rows: int = 250_000, most_bytes: int = 32 << 20) -
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the files of a :func:`stored` table that nothing reads any more."""
+    """Deletes the files of a :func:`stored` table that nothing reads any more, and lets the driver notice which shuffles
+    nothing refers to: Spark deletes their files only after the driver has collected its garbage."""
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

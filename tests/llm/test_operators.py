@@ -216,11 +216,67 @@ def test_substring_rows_leave_by_their_own_passage(spark):
         rows.append((k, header + " " + words(rng, 70, 100_000) + " " + " ".join(other)))
         rows += [(k + d, header + " " + words(rng, 70, 100_000) + " " + passage) for d in (1, 2)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeated(docs, hashes=1, bands=1, rounds=1).collect()}
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeated(docs, hashes=2, collisions=1).collect()}
     for k in range(0, 90, 3):
         assert all(any(start <= 130 and end >= 180 for start, end in spans[k + d]) for d in (1, 2))
 
 
+def test_substring_splits_common_lines(spark):
+    rng = random.Random(23)
+    line = words(rng, 44, 100_000)
+    rows = []
+    for k in range(40):  # near pairs, without 50 equal words, around a line that all documents have
+        before, after = words(rng, 30, 100_000), words(rng, 30, 100_000)
+        copy = after.split()
+        copy[5] = "changed"
+        other = before.split()
+        other[-3] = "altered"
+        rows += [(2 * k, f"{words(rng, 20, 100_000)} {before} {line} {after}"), (2 * k + 1, f"{' '.join(other)} {line} {' '.join(copy)} {words(rng, 20, 100_000)}")]
+    found = {(r.id, r.other) for r in substring.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum((2 * k + 1, 2 * k) in found or (2 * k, 2 * k + 1) in found for k in range(40)) >= 36
+
+
+def test_similar_starts_match_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n, w, most = int(rng.integers(8, 60)), int(rng.integers(3, 8)), int(rng.choice([4, 30, 1000]))
+        a = rng.integers(0, most, n)
+        b = np.roll(a, int(rng.integers(0, 3)))
+        b[rng.integers(0, n, 5)] = rng.integers(0, most, 5)
+        got = substring.similar_starts(a, b, w, 0.8)
+        for k in range(n - w + 1):
+            x, y = a[k : k + w], b[k : k + w]
+            same, common, both = (x == y).sum(), len(set(x) & set(y)), len(set(x) | set(y))
+            assert got[k] == (same >= 0.8 * (2 * w - same) - 1e-9 or common >= 0.8 * both - 1e-9)
+
+
+def test_compact_windows_are_cartesian_tree_nodes():
+    rng = np.random.default_rng(2)
+    tokens = rng.integers(0, 2**63, 400).astype(np.uint64)
+    width, nodes = 13, []
+
+    def tree(low, high, order):  # nodes of the Cartesian tree over [low, high)
+        if high - low >= width:
+            c = low + int(order[low:high].argmin())
+            nodes.append((max(low, c - width + 1), min(c, high - width), c))
+            tree(low, c, order)
+            tree(c + 1, high, order)
+
+    for f in range(3):
+        nodes.clear()
+        tree(0, len(tokens), substring._mix(tokens + np.uint64((f + 1) * 0x632BE59BD9B4E019 % 2**64)))
+        _, first, last, at = substring.compact_windows(tokens, np.zeros(len(tokens), int), width, f)
+        assert sorted(nodes) == list(zip(first.tolist(), last.tolist(), at.tolist()))
+
+
+def test_range_hashes():
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 2**63, 60).astype(np.uint64)
+    tokens[40:50] = tokens[5:15]
+    found = substring.range_hashes(tokens, np.arange(51), 10, 0x9E3779B97F4A7C15)
+    assert found[5] == found[40] and len(set(found.tolist())) == 50
+
+
 def test_sliding_minimum():
     rng = np.random.default_rng(0)
     for n, w in ((5, 5), (17, 4), (100, 7)):
