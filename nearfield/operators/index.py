@@ -43,7 +43,7 @@ class NearestNeighborIndex:
         self.matrix: DataFrame | None = None
         self.reduced: DataFrame | None = None
 
-    def fit(self, refs: DataFrame, probs: DataFrame | None = None, sample: DataFrame | None = None, mass: float | None = None, policy: str = "relational") -> NearestNeighborIndex:
+    def fit(self, refs: DataFrame, probs: DataFrame | None = None, sample: DataFrame | None = None, mass: float | None = None, policy: str = "blocked") -> NearestNeighborIndex:
         """Builds the index tables. ``sample`` is used as it is; otherwise one is drawn from ``probs``, which are
         computed by ``policy`` if they aren't given (uniform: from ``mass``)."""
         s = self.settings

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import metrics, sampling
 from nearfield.operators.index import NearestNeighborIndex, Settings
-from nearfield.plans.setup import SPARK_POLICY, SPARK_STRATEGY, Run, Setup
+from nearfield.plans.setup import FILES, SPARK_POLICY, SPARK_STRATEGY, Run, Setup
 from nearfield.plans.summary import effective_batches
 from nearfield.sources import storage
 
 
 def probabilities(setup: Setup, refs: DataFrame) -> DataFrame:
     """The probability model that all approximate runs share, computed or loaded and checked against the references."""
+    if setup.probability_policy == "load" and os.path.isfile(setup.probabilities):  # the binary form that the command line writes
+        source = os.path.join(setup.dataset, {**FILES, **(setup.files or {})}["reference_vectors_file"])
+        references, dimension = refs.agg(F.count("*"), F.max(F.size("vec"))).first()
+        return storage.bound_probabilities(refs.sparkSession, setup.probabilities, setup.distance, references, dimension, storage.sha256_file(source))
     if setup.probability_policy == "load":
         return storage.load_probabilities(refs.sparkSession, setup.probabilities, setup.distance, refs)
     return sampling.importance_probabilities(refs, setup.distance, SPARK_POLICY[setup.probability_policy])

@@ -5,8 +5,10 @@ from __future__ import annotations
 import ast
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -197,9 +199,18 @@ def read_probability_file(path: str) -> tuple[str, int, str, np.ndarray]:
     return names[kind], references, sha256.hex(), probs
 
 
+def bound_probabilities(spark: SparkSession, path: str, metric: str, references: int, dimension: int, sha256: str) -> DataFrame:
+    """(j, prob) of a binary probability file; an error if it was made for another metric, shape or source file."""
+    kind, rows, digest_, probs = read_probability_file(path)
+    if (kind, rows, len(probs), digest_) != (metric, references, dimension, sha256):
+        raise ValueError(f"{path} was made for other references or another metric")
+    return spark.createDataFrame(pa.table({"j": pa.array(np.arange(len(probs)), pa.int32()), "prob": probs}))
+
+
 def feature_table(spark: SparkSession, path: str) -> DataFrame:
-    """(feature_index, feature, sample, value) of tab-separated feature-major text, gzip or plain; the first line
-    names the samples. Line numbers come from one task a file, as gzip can't be split."""
+    """(feature_index, feature, sample, value) of tab-separated feature-major text, gzip or plain; the first line of each
+    file names its samples. Line numbers come from one task a file, as gzip can't be split. Several files must have the
+    same features in the same order; their samples are put together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: list[str] | None = None
@@ -220,7 +231,14 @@ def feature_table(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["feature_index", "feature", "sample", "value"])
 
     ship(spark)
-    return spark.read.text(path).coalesce(1).mapInArrow(run, "feature_index bigint, feature string, sample string, value double")
+    schema = "feature_index bigint, feature string, sample string, value double"
+    files = sorted(spark.read.text(path).inputFiles())
+    tables = [spark.read.text(file).coalesce(1).mapInArrow(run, schema) for file in files]
+    if len(tables) > 1:
+        names = [t.select("feature_index", "feature").distinct().agg(F.count("*"), F.sum(F.xxhash64("feature_index", "feature").cast("decimal(38,0)"))).first() for t in tables]
+        if len(set(names)) > 1:
+            raise ValueError("the files have different features")
+    return reduce(DataFrame.unionAll, tables)
 
 
 def series_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -249,29 +267,42 @@ def links(html: Column, pattern: str) -> Column:
 
 
 def ppm_pixels(raw: bytes) -> tuple[int, int, int, np.ndarray]:
-    """(width, height, maximum, values in [0, 1]) of a binary PPM image; two-byte values are big-endian."""
-    fields, at = [], 0
-    while len(fields) < 4:
-        while at < len(raw) and raw[at : at + 1].isspace():
-            at += 1
-        if raw[at : at + 1] == b"#":
-            at = raw.index(b"\n", at)
-            continue
-        end = at
-        while end < len(raw) and not raw[end : end + 1].isspace():
-            end += 1
-        if end == at:
-            raise ValueError("the image has no complete header")
-        fields.append(raw[at:end])
-        at = end
+    """(width, height, maximum, values in [0, 1]) of a binary PPM image; two-byte values are big-endian. The header
+    has one maximum, or one for each channel on one line, by which the channel is scaled."""
+    fields: list[bytes] = []
+    at = 0
+
+    def more(count: int) -> None:
+        nonlocal at
+        while len(fields) < count:
+            while at < len(raw) and raw[at : at + 1].isspace():
+                at += 1
+            if raw[at : at + 1] == b"#":
+                at = raw.index(b"\n", at)
+                continue
+            end = at
+            while end < len(raw) and not raw[end : end + 1].isspace():
+                end += 1
+            if end == at:
+                raise ValueError("the image has no complete header")
+            fields.append(raw[at:end])
+            at = end
+
+    more(4)
     if fields[0] != b"P6":
         raise ValueError("not a binary PPM image")
-    width, height, maximum = map(int, fields[1:])
-    kind = np.dtype(">u2" if maximum > 255 else "u1")
+    width, height = map(int, fields[1:3])
+    rest = re.match(rb"[ \t]+(\d+)[ \t]+(\d+)(?=\s)", raw[at:])
+    if rest:  # a maximum for each channel
+        fields += rest.groups()
+        at += rest.end()
+    maxima = np.array([int(f) for f in fields[3:]])
+    kind = np.dtype(">u2" if maxima.max() > 255 else "u1")
     data = raw[at + 1 :]
-    if not 0 < maximum < 65_536 or len(data) != width * height * 3 * kind.itemsize:
+    if not (0 < maxima.min() and maxima.max() < 65_536) or len(data) != width * height * 3 * kind.itemsize:
         raise ValueError("the image has another size than its header says")
-    return width, height, maximum, (np.frombuffer(data, kind) / np.float32(maximum)).astype(np.float32)
+    values = np.frombuffer(data, kind).reshape(-1, 3) / maxima.astype(np.float32)
+    return width, height, int(maxima.max()), values.astype(np.float32).ravel()
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:

@@ -215,3 +215,31 @@ def test_inventory_and_alignment(spark):
     assert {tuple(r) for r in datasets.inventory(a, b).collect()} == {("a", "extra"), ("c", "extra"), ("d", "missing")}
     assert {r.k for r in datasets.aligned(a, b, "k").collect()} == {"a", "c", "d"}
     assert datasets.duplicates(a, "k").first().k == "a"
+
+
+def test_images_with_a_maximum_for_each_channel():
+    raw = b"P6\n# a comment\n2 1\n255 100 50\n" + bytes([255, 50, 25, 51, 100, 50])
+    assert storage.ppm_pixels(raw)[:3] == (2, 1, 255)
+    assert np.allclose(storage.ppm_pixels(raw)[3], [1, 0.5, 0.5, 0.2, 1, 1])
+    with pytest.raises(ValueError, match="another size"):
+        storage.ppm_pixels(raw + b"x")
+
+
+def test_feature_table_of_several_files(spark, tmp_path):
+    for name, samples, values in (("a", "s1\ts2", [(1, 2), (3, 4)]), ("b", "s3", [(5,), (6,)])):
+        rows = [f"g{k}\t" + "\t".join(map(str, v)) for k, v in enumerate(values)]
+        (tmp_path / f"{name}.tsv").write_text("\n".join(["id\t" + samples, *rows]) + "\n")
+    got = {(r.feature_index, r.feature, r["sample"]): r.value for r in storage.feature_table(spark, str(tmp_path)).collect()}
+    assert got == {(0, "g0", "s1"): 1, (0, "g0", "s2"): 2, (1, "g1", "s1"): 3, (1, "g1", "s2"): 4, (0, "g0", "s3"): 5, (1, "g1", "s3"): 6}
+    (tmp_path / "c.tsv").write_text("id\ts4\nother\t1\n")
+    with pytest.raises(ValueError, match="different features"):
+        storage.feature_table(spark, str(tmp_path))
+
+
+def test_probability_file_is_bound_to_its_source(spark, tmp_path):
+    path = str(tmp_path / "p.bin")
+    storage.write_probability_file(path, "l2", 3, "ab" * 32, np.array([0.5, 1.0]))
+    assert [tuple(r) for r in storage.bound_probabilities(spark, path, "l2", 3, 2, "ab" * 32).orderBy("j").collect()] == [(0, 0.5), (1, 1.0)]
+    for wrong in (("l1", 3, 2, "ab" * 32), ("l2", 4, 2, "ab" * 32), ("l2", 3, 3, "ab" * 32), ("l2", 3, 2, "cd" * 32)):
+        with pytest.raises(ValueError, match="other references"):
+            storage.bound_probabilities(spark, path, *wrong)
