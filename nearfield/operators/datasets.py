@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from nearfield.functions.shipping import ship
 
 
+_DIGITS = 3  # of a hash that say which of 4,096 parts of a label a row is in
+
+
 def _place(seed: int, key: Column) -> Column:
     """A hash that shuffles rows the same way for a seed, wherever they are."""
     return F.md5(F.concat_ws("|", F.lit(seed), key.cast("string")))
@@ -21,19 +29,41 @@ def stratified_split(df: DataFrame, fraction: float, seed: int, key: str = "vec_
     unit = group or key
     units = df.select(F.col(label).alias("_label"), F.col(unit).alias("_unit")).distinct()
     labels = units.groupBy("_unit").agg(F.count("*").alias("_labels"))
+    units = units.withColumn("_place", _place(seed, F.col("_unit"))).withColumn("_part", F.substring("_place", 1, _DIGITS))
+    # a label is counted by the first digits of the hashes: units of only one such part have to be put in order
+    parts = units.groupBy("_label", "_part").agg(F.count("*").alias("_c"))
     by = Window.partitionBy("_label")
-    n = F.count("*").over(by)
-    rank = F.row_number().over(by.orderBy(_place(seed, F.col("_unit")), "_unit"))
-    pool = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * fraction).cast("bigint")))
-    roles = units.withColumns({"_n": n, "_rank": rank, "_pool": pool}).join(labels, "_unit")
-    role = F.when(F.col("_labels") > 1, F.raise_error(F.lit("a group has two labels")).cast("string")).when(F.col("_rank") <= F.col("_pool"), "pool").otherwise("query")
+    before = F.coalesce(F.sum("_c").over(by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.sum("_c").over(by)
+    parts = parts.select(F.col("_label").alias("_of"), F.col("_part").alias("_at"), "_c", before.alias("_before"), F.greatest(F.lit(1), F.least(n - 1, F.bround(n * fraction).cast("bigint"))).alias("_pool"))
+    units = units.join(parts, F.col("_label").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_at")))
+    split = (F.col("_before") < F.col("_pool")) & (F.col("_before") + F.col("_c") > F.col("_pool"))
+    rank = F.row_number().over(Window.partitionBy("_label", "_part").orderBy("_place", "_unit")) + F.col("_before")
+    sure = units.where(~split).select("_unit", (F.col("_before") < F.col("_pool")).alias("_in"))
+    close = units.where(split).withColumn("_rank", rank).select("_unit", (F.col("_rank") <= F.col("_pool")).alias("_in"))
+    roles = sure.unionByName(close).join(labels, "_unit")
+    role = F.when(F.col("_labels") > 1, F.raise_error(F.lit("a group has two labels")).cast("string")).when(F.col("_in"), "pool").otherwise("query")
     roles = roles.select("_unit", role.alias("role"))
     return df.join(roles, df[unit] == roles["_unit"]).select(*[df[c] for c in df.columns], "role")
 
 
-def role_index(df: DataFrame, role: str = "role", order: str = "sample_index") -> DataFrame:
-    """``df`` with role_row_index: each row's zero-based place within its role."""
-    return df.withColumn("role_row_index", F.row_number().over(Window.partitionBy(role).orderBy(order)) - 1)
+def role_index(df: DataFrame, role: str = "role", order: str = "sample_index", parts: int = 256) -> DataFrame:
+    """``df`` with role_row_index: each row's zero-based place within its role.
+
+    Rows are numbered within ranges of a numeric ``order`` and the ranges' counts are added up, so that a role with
+    most of the rows is shared by ``parts`` tasks; where the ranges lie doesn't change the result.
+    """
+    if not isinstance(df.schema[order].dataType, NumericType):
+        return df.withColumn("role_row_index", F.row_number().over(Window.partitionBy(role).orderBy(order)) - 1)
+    bounds = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
+    place = F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    rows = df.withColumn("_part", F.when(F.col(order).isNull(), -1).otherwise(place))
+    counts = rows.groupBy(F.col(role).alias("_role"), F.col("_part").alias("_range")).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_role").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_role", "_range", before.alias("_before"))  # at most ``parts`` rows a role
+    rows = rows.withColumn("_own", F.row_number().over(Window.partitionBy(role, "_part").orderBy(order)) - 1)
+    rows = rows.join(counts, F.col(role).eqNullSafe(F.col("_role")) & (F.col("_part") == F.col("_range")))
+    return rows.select(*df.columns, (F.col("_own") + F.col("_before")).cast("int").alias("role_row_index"))
 
 
 def cyclic_holdout(angle: Column, start: int, count: int, step: int, cycle: int = 360) -> Column:
@@ -93,10 +123,23 @@ def transpose(features: DataFrame, feature: str = "feature", sample: str = "samp
 
 def nearest_rivals(refs: DataFrame) -> DataFrame:
     """(ref_id, rival_id, dist_sq): each reference's nearest other one."""
-    from nearfield.functions.vectors import l2_distance_sq
+    from nearfield.operators import scan
+
+    def work(ids: np.ndarray, held: np.ndarray) -> scan.Work:
+        of = scan.summed(held, "l2")
+
+        def run(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
+            own, at = batch.column(0).to_numpy(), 0
+            for d in of(scan.prepared(batch, None)):
+                d[own[at : at + len(d)][:, None] == ids] = np.inf
+                best = d.argmin(axis=1)
+                yield [batch.column(0).slice(at, len(d)), pa.array(ids[best]), pa.array(d[np.arange(len(d)), best])]
+                at += len(d)
+
+        return run
 
-    pairs = refs.select("ref_id", F.col("vec").alias("a")).join(F.broadcast(refs.select(F.col("ref_id").alias("rival_id"), F.col("vec").alias("b"))), F.col("ref_id") != F.col("rival_id"))
-    best = pairs.groupBy("ref_id").agg(F.min(F.struct(l2_distance_sq(F.col("a"), F.col("b")).alias("d"), "rival_id")).alias("x"))
+    parts = scan.by_block(refs.withColumnRenamed("ref_id", "query_id"), refs, scan.blocks_for(scan.measured(refs)), work, "query_id bigint, rival_id bigint, d double")
+    best = reduce(DataFrame.unionAll, parts).where(F.col("d") < float("inf")).groupBy(F.col("query_id").alias("ref_id")).agg(F.min(F.struct("d", "rival_id")).alias("x"))
     return best.select("ref_id", "x.rival_id", F.col("x.d").alias("dist_sq"))
 
 

@@ -42,6 +42,8 @@ class NearestNeighborIndex:
         self.sample: DataFrame | None = None
         self.matrix: DataFrame | None = None
         self.reduced: DataFrame | None = None
+        self._reduction: sampling.Reduction | None = None
+        self._size: int | None = None
 
     def fit(self, refs: DataFrame, probs: DataFrame | None = None, sample: DataFrame | None = None, mass: float | None = None, policy: str = "blocked") -> NearestNeighborIndex:
         """Builds the index tables. ``sample`` is used as it is; otherwise one is drawn from ``probs``, which are
@@ -50,8 +52,9 @@ class NearestNeighborIndex:
         if refs.limit(1).count() == 0:
             raise ValueError("there are no references")
         self.refs = refs
+        self._reduction = self._size = None
         if s.family == "exact":
-            self.reduced = refs.select("ref_id", vectors.checked_finite(F.col("vec"), "a reference").alias("vec"))
+            self.reduced = refs.select("ref_id", "vec")
             return self
         if sample is None:
             if s.family == "uniform":
@@ -67,9 +70,7 @@ class NearestNeighborIndex:
             if refs.limit(2).count() > 1 and self.sample.limit(1).count() == 0:
                 raise ValueError("the coordinate sample is empty")
             self.matrix = sampling.projection(self.sample, s.metric, s.projection_dimension, s.seed).persist()
-            reduced = sampling.projected(refs.select("ref_id", "vec"), self.sample, self.matrix)
-        else:
-            reduced = sampling.embedded(refs.select("ref_id", "vec"), self.sample, s.metric)
+        reduced = self.reduction().of(refs.select("ref_id", "vec"), "ref_id")
         self.reduced = reduced.persist()
         return self
 
@@ -79,21 +80,29 @@ class NearestNeighborIndex:
             if table is not None:
                 table.unpersist()
 
+    def reduction(self) -> sampling.Reduction:
+        """What maps vectors to the index's own space, fetched once from the sample and the projection."""
+        if self._reduction is None:
+            self._reduction = sampling.Reduction.fetched(self.sample, self.settings.metric, self.matrix, self.settings.projection_dimension)
+        return self._reduction
+
     def transform(self, queries: DataFrame) -> DataFrame:
-        """(query_id, ref_id, dist) with dist in the index's own space; the lowest id wins ties."""
+        """(query_id, ref_id, dist) with dist in the index's own space; the lowest id wins ties.
+
+        Sampling, projection and scan of a batch of queries are one pass in numpy, unless the strategy asks for
+        expressions.
+        """
         s, rows = self.settings, queries.select("query_id", "vec")
+        if self._size is None:
+            self._size = scan.measured(self.reduced)
         if s.family == "exact":
-            rows = rows.withColumn("vec", vectors.checked_finite(F.col("vec"), "a query"))
-            return scan.nearest(rows, self.reduced, s.metric, s.strategy)
-        if s.family == "hierarchical":
-            rows = sampling.projected(rows, self.sample, self.matrix)
-            measure = vectors.median_abs_difference if s.metric == "l1" else None
-            return scan.nearest(rows, self.reduced, s.metric, s.strategy, measure)
-        rows = sampling.embedded(rows, self.sample, s.metric)
-        if s.metric == "l2":
-            return scan.nearest(rows, self.reduced, "l2", s.strategy)
-        # L1 keeps its weights beside the coordinates: they are the same for all rows
-        return scan.nearest(rows, self.reduced, "l1", "array_scan", lambda q, r: vectors.weighted_l1_distance(q, r, F.col("weights")))
+            return scan.nearest(rows, self.reduced, s.metric, s.strategy, size=self._size)
+        own = self.reduction()
+        kind = {"l2": "l2", "l1": "median" if s.family == "hierarchical" else "weighted_l1"}[s.metric]
+        if s.strategy in ("array_scan", "relational") and self._size <= scan._BLOCK_BYTES:
+            rows = sampling.projected(rows, self.sample, self.matrix) if s.family == "hierarchical" else sampling.embedded(rows, self.sample, s.metric)
+            return scan.nearest(rows.select("query_id", "vec"), self.reduced, kind, s.strategy, own.weights, size=self._size)
+        return scan.nearest(rows, self.reduced, kind, s.strategy, own.weights, own, self._size)
 
     def space_usage(self) -> DataFrame:
         """One row: index_bytes, workspace_bytes, unique_coordinates, total_multiplicity of the logical payload."""
@@ -135,6 +144,7 @@ class NearestNeighborIndex:
         """The same index, scanned another way."""
         out = NearestNeighborIndex(replace(self.settings, strategy=strategy))
         out.refs, out.sample, out.matrix, out.reduced = self.refs, self.sample, self.matrix, self.reduced
+        out._reduction, out._size = self._reduction, self._size
         return out
 
 

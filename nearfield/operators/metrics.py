@@ -5,10 +5,16 @@ Statistics are null where they have no rows. Quantiles are nearest-rank: the cei
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors
+from nearfield.operators import scan
 
 #: Approximation thresholds and lower bounds of the margin buckets.
 EPSILONS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.10)
@@ -18,8 +24,21 @@ _INF = float("inf")
 
 def distance_table(queries: DataFrame, refs: DataFrame, metric: str = "l2") -> DataFrame:
     """(query_id, ref_id, dist) of every query with every reference; dist as reported (L2 with its root)."""
-    pairs = queries.select("query_id", F.col("vec").alias("q")).crossJoin(F.broadcast(refs.select("ref_id", F.col("vec").alias("r"))))
-    return pairs.select("query_id", "ref_id", vectors.reported(metric)(F.col("q"), F.col("r")).alias("dist"))
+    vectors.distance(metric)
+
+    def work(ids: np.ndarray, held: np.ndarray) -> scan.Work:
+        of = scan.summed(held, metric)
+
+        def run(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
+            queries_, at = batch.column(0).to_numpy(), 0
+            for d in of(scan.prepared(batch, None)):
+                own = queries_[at : at + len(d)]
+                at += len(d)
+                yield [pa.array(np.repeat(own, len(ids))), pa.array(np.tile(ids, len(d))), pa.array((d if metric == "l1" else np.sqrt(d)).ravel())]
+
+        return run
+
+    return reduce(DataFrame.unionAll, scan.by_block(queries, refs, scan.blocks_for(scan.measured(refs)), work, "query_id bigint, ref_id bigint, dist double"))
 
 
 def margin(optimum: Column, second: Column) -> Column:
@@ -41,17 +60,73 @@ def optima(table: DataFrame) -> DataFrame:
     second is the least distance without the first nearest reference, so it equals the optimum on ties; it is
     infinite where there is one reference.
     """
-    order = Window.partitionBy("query_id").orderBy("dist", "ref_id")
-    ranked = table.withColumns({"rn": F.row_number().over(order), "rk": F.rank().over(Window.partitionBy("query_id").orderBy("dist"))})
-    out = ranked.where("rn <= 2 or rk = 1").groupBy("query_id").agg(
-        F.min("dist").alias("optimum"),
-        F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("dist"))), F.lit(_INF)).alias("second"),
-        F.count_if(F.col("rk") == 1).alias("multiplicity"),
-    )
-    out = out.withColumn("margin", margin(F.col("optimum"), F.col("second")))
+    ranked = table.groupBy("query_id").agg(F.sort_array(F.collect_list("dist")).alias("d"))
+    return _margins(ranked.select("query_id", *_least("d")))
+
+
+def _least(ranked: str) -> list[Column]:
+    """Optimum, second and multiplicity from a query's distances in order."""
+    first = F.get(ranked, 0)
+    return [first.alias("optimum"), F.coalesce(F.get(ranked, 1), F.lit(_INF)).alias("second"), F.size(F.filter(ranked, lambda x: x == first)).cast("bigint").alias("multiplicity")]
+
+
+def _margins(rows: DataFrame) -> DataFrame:
+    out = rows.withColumn("margin", margin(F.col("optimum"), F.col("second")))
     return out.withColumn("bucket", margin_bucket(F.col("margin")))
 
 
+def optima_of(queries: DataFrame, refs: DataFrame, metric: str = "l2") -> DataFrame:
+    """As :func:`optima` without a distance table: one pass over the queries for each block of references."""
+    return _margins(_assessed(queries, refs, metric).select("query_id", "optimum", "second", "multiplicity"))
+
+
+def judged_of(predictions: DataFrame, queries: DataFrame, refs: DataFrame, metric: str = "l2") -> DataFrame:
+    """As :func:`judged` without a distance table: the predicted reference's vector travels with its query."""
+    rows = queries.select("query_id", "vec").join(predictions.select("query_id", F.col("ref_id").alias("got")), "query_id")
+    rows = rows.join(scan.hinted(refs).select(F.col("ref_id").cast("bigint").alias("got"), F.col("vec").alias("got_vec")), "got")
+    return _judged(_margins(_assessed(rows, refs, metric, ("got", "got_vec")).withColumnRenamed("got", "ref_id")))
+
+
+def _assessed(rows: DataFrame, refs: DataFrame, metric: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, optimum, second, multiplicity), with ``extra`` also got, returned and nearer; blocks' parts are merged."""
+    vectors.distance(metric)
+    schema = "query_id bigint, optimum double, second double, multiplicity bigint" + (", got bigint, returned double, nearer bigint" if extra else "")
+
+    def work(ids: np.ndarray, held: np.ndarray) -> scan.Work:
+        of = scan.summed(held, metric)
+
+        def run(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
+            vecs, at = scan.prepared(batch, None), 0
+            if extra and len(batch):
+                gaps = np.abs(vecs.astype(np.float64) - scan.matrix(batch.column(3)))
+                terms = gaps if metric == "l1" else gaps * gaps
+                returned = np.add.accumulate(terms, axis=1)[:, -1]
+                returned = returned if metric == "l1" else np.sqrt(returned)
+            for d in of(vecs):
+                d = d if metric == "l1" else np.sqrt(d)
+                two = np.partition(d, 1, axis=1)[:, :2] if d.shape[1] > 1 else np.column_stack([d[:, 0], np.full(len(d), np.inf)])
+                columns = [batch.column(0).slice(at, len(d)), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array((d == two[:, :1]).sum(axis=1))]
+                if extra:
+                    own = returned[at : at + len(d)]
+                    columns += [batch.column(2).slice(at, len(d)), pa.array(own), pa.array((d < own[:, None]).sum(axis=1))]
+                at += len(d)
+                yield columns
+
+        return run
+
+    parts = scan.by_block(rows, refs, scan.blocks_for(scan.measured(refs)), work, schema, extra)
+    if len(parts) == 1:
+        return parts[0]
+    by = ["query_id", *(["got", "returned"] if extra else [])]
+    merged = reduce(DataFrame.unionAll, parts).groupBy(*by).agg(
+        F.sort_array(F.flatten(F.collect_list(F.array("optimum", "second")))).alias("d"),
+        F.collect_list(F.struct("optimum", "multiplicity")).alias("m"),
+        *([F.sum("nearer").alias("nearer")] if extra else []),
+    )
+    equal = F.aggregate(F.filter("m", lambda x: x["optimum"] == F.get("d", 0)), F.lit(0).cast("bigint"), lambda n, x: n + x["multiplicity"])
+    return merged.select(*by, F.get("d", 0).alias("optimum"), F.get("d", 1).alias("second"), equal.alias("multiplicity"), *(["nearer"] if extra else []))
+
+
 def quantile(p: float, value: str) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {value})")
 
@@ -97,9 +172,13 @@ def judged(predictions: DataFrame, table: DataFrame) -> DataFrame:
     A prediction is optimal if its distance equals the optimum; its rank is one more than the number of references
     that are nearer.
     """
-    returned = predictions.join(table, ["query_id", "ref_id"]).select("query_id", "ref_id", F.col("dist").alias("returned"))
-    nearer = table.join(returned.select("query_id", "returned"), "query_id").groupBy("query_id").agg(F.count_if(F.col("dist") < F.col("returned")).alias("nearer"))
-    rows = returned.join(optima(table), "query_id").join(nearer, "query_id")
+    rows = table.withColumnRenamed("ref_id", "other").join(predictions.select("query_id", "ref_id"), "query_id")
+    rows = rows.groupBy("query_id", "ref_id").agg(F.sort_array(F.collect_list("dist")).alias("d"), F.max(F.when(F.col("other") == F.col("ref_id"), F.col("dist"))).alias("returned"))
+    nearer = F.size(F.filter("d", lambda x: x < F.col("returned"))).cast("bigint")
+    return _judged(_margins(rows.where("returned is not null").select("query_id", "ref_id", "returned", nearer.alias("nearer"), *_least("d"))))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", "ref_id", "returned", "optimum", (F.col("nearer") + 1).alias("rank"), ratio(F.col("returned"), F.col("optimum")).alias("ratio"), (F.col("returned") == F.col("optimum")).alias("optimal"), "margin", "bucket")
 
 
@@ -149,10 +228,10 @@ def judged_selected(predictions: DataFrame, reference: DataFrame, queries: DataF
 
     Here optimal means at most as far as the reference's; nearer than that is an improvement. No ranks, no margins.
     """
-    of, vecs = vectors.reported(metric), refs.select("ref_id", F.col("vec").alias("r"))
+    of, vecs = vectors.reported(metric), scan.hinted(refs).select("ref_id", F.col("vec").alias("r"))
 
     def dist(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("query_id", "ref_id").join(queries.select("query_id", F.col("vec").alias("q")), "query_id").join(F.broadcast(vecs), "ref_id").select("query_id", F.col("ref_id").alias(f"{name}_id"), of(F.col("q"), F.col("r")).alias(name))
+        return rows.select("query_id", "ref_id").join(queries.select("query_id", F.col("vec").alias("q")), "query_id").join(vecs, "ref_id").select("query_id", F.col("ref_id").alias(f"{name}_id"), of(F.col("q"), F.col("r")).alias(name))
 
     rows = dist(predictions, "returned").join(dist(reference, "optimum"), "query_id")
     r, o = F.col("returned"), F.col("optimum")
@@ -168,5 +247,5 @@ def basic_quality(predictions: DataFrame, reference: DataFrame, queries: DataFra
         return rows.agg(*out, null.alias("label_correct"), null.alias("label_agreeing"))
     labels = refs.select("ref_id", "label")
     rows = rows.join(queries.select("query_id", F.col("label").alias("truth")), "query_id")
-    rows = rows.join(F.broadcast(labels.toDF("got", "got_label")), "got").join(F.broadcast(labels.toDF("exact", "exact_label")), "exact")
+    rows = rows.join(labels.toDF("got", "got_label"), "got").join(labels.toDF("exact", "exact_label"), "exact")
     return rows.agg(*out, F.count_if(F.col("got_label") == F.col("truth")).alias("label_correct"), F.count_if(F.col("got_label") == F.col("exact_label")).alias("label_agreeing"))

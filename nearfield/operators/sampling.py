@@ -7,6 +7,7 @@ hashes of (stream, seed, coordinate, repetition), so they do not depend on parti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import vectors
 from nearfield.functions.shipping import ship
 from nearfield.functions.vectors import hashed_uniform
-from nearfield.operators.scan import collected
+from nearfield.operators.scan import collected, matrix, measured
 
 POLICIES = ("relational", "blocked", "gram")
 _BROADCAST_BYTES = 1 << 30
@@ -27,13 +28,13 @@ def long_form(df: DataFrame, id_col: str = "ref_id") -> DataFrame:
     return df.select(id_col, F.posexplode("vec").alias("j", "v"))
 
 
-def importance_probabilities(refs: DataFrame, metric: str = "l2", policy: str = "relational", rows_per_block: int = 32) -> DataFrame:
+def importance_probabilities(refs: DataFrame, metric: str = "l2", policy: str = "blocked", rows_per_block: int = 32) -> DataFrame:
     """(j, prob): the largest share that coordinate j has in the distance of a pair of different references.
 
-    Zero for fewer than two references; pairs that are equal are left out; at most 1. relational is one self-join by
-    coordinate, for small sets; blocked and gram broadcast the matrix, whose size is checked, and give each task a
-    block of rows: it takes their distances to all later rows (gram: by a matrix product, with near-cancelled pairs
-    computed again) and keeps one maximum per coordinate, so only d numbers a block are shuffled.
+    Zero for fewer than two references; pairs that are equal are left out; at most 1. blocked and gram work in numpy
+    on pairs of references (gram: distances by a matrix product, with near-cancelled pairs computed again) and shuffle
+    one maximum per coordinate and task: up to 1 GiB by a broadcast of the matrix, beyond that by groups that hold two
+    blocks of rows each. relational is one self-join by coordinate, for a few references only.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}")
@@ -54,12 +55,32 @@ def importance_probabilities(refs: DataFrame, metric: str = "l2", policy: str =
     return every.join(shares, "j", "left").select("j", F.least(F.lit(1.0), F.coalesce("prob", F.lit(0.0))).alias("prob"))
 
 
+def _shares(x: np.ndarray, own: range, later, metric: str, policy: str, best: np.ndarray) -> None:
+    """Raises ``best`` to the shares of the pairs of each row in ``own`` with those from ``later(row)`` on."""
+    norms = (x * x).sum(axis=1) if policy == "gram" else None
+    step = max(1, (1 << 20) // max(1, x.shape[1]))
+    for i in own:
+        for k in range(later(i), len(x), step):
+            parts = np.abs(x[k : k + step] - x[i])
+            if metric == "l2":
+                parts *= parts
+            if norms is not None:
+                inner = x[k : k + step] @ x[i]
+                whole = norms[k : k + step] + norms[i] - 2 * inner
+                unsure = whole <= 256 * np.finfo(np.float32).eps * (norms[k : k + step] + norms[i] + 2 * np.abs(inner))
+                whole[unsure] = parts[unsure].sum(axis=1)
+            else:  # left to right, as the expressions add
+                whole = np.add.accumulate(parts, axis=1)[:, -1] if parts.shape[1] else np.zeros(len(parts))
+            inverse = np.divide(1.0, whole, out=np.zeros_like(whole), where=whole > 0)
+            np.maximum(best, (parts * inverse[:, None]).max(axis=0), out=best)
+
+
 def _blocked(refs: DataFrame, metric: str, policy: str, step: int) -> DataFrame:
-    size = refs.agg(F.coalesce(F.sum(F.size("vec") * 8), F.lit(0))).first()[0]
-    if size > _BROADCAST_BYTES:
-        raise ValueError("too many references to broadcast: use the relational policy on a coordinate-blocked table")
     spark = refs.sparkSession
     ship(spark)
+    size = measured(refs)
+    if size > _BROADCAST_BYTES:
+        return _highest(_paired(refs, metric, policy, size))
     _, matrix = collected(refs)
     shared = spark.sparkContext.broadcast(matrix)
     blocks = max(1, -(-len(matrix) // step))
@@ -67,30 +88,40 @@ def _blocked(refs: DataFrame, metric: str, policy: str, step: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared.value.astype(np.float64)
-        norms = (x * x).sum(axis=1)
         best = np.zeros(dimension)
         for batch in batches:
             for block in batch.column(0).to_pylist():
-                for i in range(block * step, min(len(x), (block + 1) * step)):
-                    parts = np.abs(x[i + 1 :] - x[i])
-                    if metric == "l2":
-                        parts *= parts
-                    if policy == "gram":
-                        inner = x[i + 1 :] @ x[i]
-                        whole = norms[i + 1 :] + norms[i] - 2 * inner
-                        unsure = whole <= 256 * np.finfo(np.float32).eps * (norms[i + 1 :] + norms[i] + 2 * np.abs(inner))
-                        whole[unsure] = parts[unsure].sum(axis=1)
-                    else:
-                        whole = parts.sum(axis=1)
-                    inverse = np.divide(1.0, whole, out=np.zeros_like(whole), where=whole > 0)
-                    if len(parts):
-                        best = np.maximum(best, (parts * inverse[:, None]).max(axis=0))
+                _shares(x, range(block * step, min(len(x), (block + 1) * step)), lambda i: i + 1, metric, policy, best)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dimension), pa.int32()), pa.array(best)], names=["j", "prob"])
 
-    found = spark.range(0, blocks, 1, min(blocks, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "j int, prob double")
+    return _highest(spark.range(0, blocks, 1, min(blocks, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "j int, prob double"))
+
+
+def _highest(found: DataFrame) -> DataFrame:
     return found.groupBy("j").agg(F.least(F.lit(1.0), F.max("prob")).alias("prob"))
 
 
+def _paired(refs: DataFrame, metric: str, policy: str, size: int, block_bytes: int = 64 << 20) -> DataFrame:
+    """As the broadcast way, for any number of references: each pair of blocks of rows is a group of its own, of
+    2 * ``block_bytes`` or so, and every pair of rows is in one group's charge. A row is sent once to each block."""
+    blocks = max(1, -(-size // block_bytes))
+    rows = refs.select("ref_id", "vec", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    rows = rows.select("vec", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("own").combine_chunks()
+        x, own = matrix(rows.column("vec").combine_chunks()).astype(np.float64), rows.column("own").to_numpy()
+        best = np.zeros(x.shape[1])
+        first = int((own == own[0]).sum()) if rows.column("low")[0] != rows.column("high")[0] else 0
+        if first == 0:  # a block with itself
+            _shares(x, range(len(x)), lambda i: i + 1, metric, policy, best)
+        elif own[0] != own[-1]:
+            _shares(x, range(first), lambda i: first, metric, policy, best)
+        return pa.table({"j": pa.array(np.arange(len(best)), pa.int32()), "prob": pa.array(best)})
+
+    return rows.groupBy("low", "high").applyInArrow(run, "j int, prob double")
+
+
 def checked(probs: DataFrame) -> DataFrame:
     """``probs`` itself; an error where a probability is not in [0, 1]."""
     good = F.col("prob").isNotNull() & ~F.isnan("prob") & F.col("prob").between(0, 1)
@@ -182,3 +213,65 @@ def projected(df: DataFrame, sample: DataFrame, matrix: DataFrame) -> DataFrame:
     wide = wide.withColumn("_own", vectors.checked_finite(F.col("_own"), "a sampled vector"))
     wide = wide.withColumn("_vec", F.transform("_m", lambda r: vectors.dot(r, F.col("_own"))))
     return wide.select(*kept, vectors.checked_finite(F.col("_vec"), "a projection").alias("vec"))
+
+
+@dataclass(frozen=True)
+class Reduction:
+    """A coordinate sample, and a projection if there is one, as arrays: maps matrices of vectors in numpy.
+
+    ``scales`` multiply the sampled coordinates (flat L2); ``weights`` go beside them (flat L1); ``coefs`` has a row for
+    each dimension of a projection.
+    """
+
+    places: np.ndarray
+    scales: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    coefs: np.ndarray | None = None
+
+    @classmethod
+    def fetched(cls, sample: DataFrame, metric: str, matrix_: DataFrame | None = None, dimension: int = 0) -> Reduction:
+        """From a sample, which has at most a row for each coordinate, and a projection, whose size is checked."""
+        drawn = sample.select("j", "multiplicity", "inv_prob").orderBy("j").toArrow()
+        places, weights = drawn.column("j").to_numpy().astype(np.int64), drawn.column("multiplicity").to_numpy() * drawn.column("inv_prob").to_numpy()
+        if matrix_ is not None:
+            if 8 * dimension * len(places) > _BROADCAST_BYTES:
+                raise ValueError("the projection is too large to broadcast: take fewer repetitions or dimensions")
+            rows = matrix_.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("j", "coef"))).alias("r")).orderBy("k").select("r.coef").toArrow()
+            return cls(places, coefs=matrix(rows.column(0).combine_chunks()) if len(places) else np.zeros((dimension, 0)))
+        if metric == "l1":
+            return cls(places, weights=weights)
+        scales = np.sqrt(weights)
+        if len(scales) and scales.max() > np.finfo(np.float32).max:
+            raise ValueError("value is too large for a float")
+        return cls(places, scales=scales.astype(np.float32))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if len(self.places) and self.places[-1] >= x.shape[1]:
+            raise ValueError("vector sizes differ: a sampled coordinate is out of range")
+        own = x[:, self.places]
+        if not np.isfinite(own).all():
+            raise ValueError("a sampled vector has values that are not finite")
+        if self.coefs is not None:
+            own = own.astype(np.float64) @ self.coefs.T
+            if not np.isfinite(own).all():
+                raise ValueError("a projection has values that are not finite")
+            return own
+        own = own.astype(np.float32)
+        return own if self.scales is None else own * self.scales
+
+    def of(self, df: DataFrame, id_col: str) -> DataFrame:
+        """(id, vec) of ``df`` with vec mapped; batches of vectors at a time."""
+        ship(df.sparkSession)
+        shared = df.sparkSession.sparkContext.broadcast(self)
+        kind = "float" if self.coefs is None else "double"
+        element = pa.float32() if self.coefs is None else pa.float64()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                out = shared.value(matrix(batch.column(1)))
+                ends = pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(out.ravel(), element))], names=[id_col, "vec"])
+
+        return df.select(F.col(id_col).cast("bigint").alias(id_col), "vec").mapInArrow(run, f"{id_col} bigint, vec array<{kind}>")

@@ -142,7 +142,12 @@ judged AS (SELECT r.query_id, r.ref_id, returned, optimum, nearer + 1 AS rank, C
 
 
 def _judged(spark: SparkSession, sf: str, metric: str) -> DataFrame:
-    table = metrics.distance_table(*_sides(spark, sf), metric)
+    queries, r = _sides(spark, sf)
+    return metrics.judged_of(_predictions(metrics.distance_table(queries, r, metric)), queries, r, metric)
+
+
+def _judged_by_table(spark: SparkSession, sf: str) -> DataFrame:
+    table = metrics.distance_table(*_sides(spark, sf), "l2")
     return metrics.judged(_predictions(table), table)
 
 
@@ -162,7 +167,7 @@ for _m in ("l1", "l2"):
     _add(f"distance_table_{_m}", lambda s, f, m=_m: metrics.distance_table(*_sides(s, f), m), _with() + f"SELECT query_id, ref_id, {_reported(_m)} AS dist FROM queries q, refs r")
     _add(
         f"query_geometry_{_m}",
-        lambda s, f, m=_m: _round(metrics.geometry(metrics.optima(metrics.distance_table(*_sides(s, f), m))), 9, "margin_mean"),
+        lambda s, f, m=_m: _round(metrics.geometry(metrics.optima_of(*_sides(s, f), m)), 9, "margin_mean"),
         _with(_table_sql(_m), _OPTIMA_SQL) + f"SELECT count(*) AS queries, count(*) FILTER (WHERE optimum = 0) AS zero_optimum, count(*) FILTER (WHERE multiplicity > 1) AS non_unique, count(*) FILTER (WHERE margin = 'inf') AS infinite_margins, {_summary_sql('fin', 'margin_')} FROM (SELECT *, CASE WHEN margin < 'inf' THEN margin END AS fin FROM optima)",
     )
     _add(f"importance_probs_{_m}", lambda s, f, m=_m: _probs(s, f, m), _with(_probs_sql(_m)) + "SELECT j, prob FROM probs")
@@ -183,11 +188,16 @@ for _m in ("l1", "l2"):
     )
 for _s in ("relational", "parallel_references", "direct"):
     _add(f"exact_l2_{_s}", lambda s, f, k=_s: _round(scan.nearest(*_sides(s, f), "l2", k), 9, "dist"), _with() + f"SELECT query_id, ref_id, round(dist, 9) AS dist FROM ({_nearest('l2')})")
+for _m, _s in (("l1", "array_scan"), ("l1", "parallel_references"), ("l2", "array_scan")):
+    for _kind in ("flat", "hierarchical"):
+        _add(f"{_kind}_{_m}_{_s}", lambda s, f, m=_m, k=_s, n=_kind: _round((index.flat(m, T, SEED, k) if n == "flat" else index.hierarchical(m, T, P, SEED, k)).fit(refs(s, f), _probs(s, f, m)).transform(queries_of(s, f)), 6, "dist"), _ALL[f"{_kind}_{_m}"][1])
+_add("exact_l2_array_scan", lambda s, f: index.exact("l2", "array_scan").fit(refs(s, f)).transform(queries_of(s, f)), _ALL["exact_l2"][1])
+_add("hierarchical_l2_gemm", lambda s, f: index.hierarchical("l2", T, P, SEED, "gemm").fit(refs(s, f), _probs(s, f)).transform(queries_of(s, f)).select("query_id", "ref_id"), "SELECT query_id, ref_id FROM (" + _ALL["hierarchical_l2"][1] + ")")
 _add("exact_l2_gemm", lambda s, f: scan.nearest(*_sides(s, f), "l2", "gemm").select("query_id", "ref_id"), _with() + f"SELECT query_id, ref_id FROM ({_nearest('l2')})")
 _add("exact_l1_direct", lambda s, f: _round(scan.nearest(*_sides(s, f), "l1", "direct"), 9, "dist"), _with() + f"SELECT query_id, ref_id, round(dist, 9) AS dist FROM ({_nearest('l1')})")
-_add("margin_buckets", lambda s, f: metrics.buckets(metrics.optima(metrics.distance_table(*_sides(s, f)))), _with(_table_sql("l2"), _OPTIMA_SQL) + "SELECT b::INT AS bucket, count(query_id) AS queries FROM range(5) t(b) LEFT JOIN optima ON bucket = b GROUP BY b")
+_add("margin_buckets", lambda s, f: metrics.buckets(metrics.optima_of(*_sides(s, f))), _with(_table_sql("l2"), _OPTIMA_SQL) + "SELECT b::INT AS bucket, count(query_id) AS queries FROM range(5) t(b) LEFT JOIN optima ON bucket = b GROUP BY b")
 _add("optima_l2", lambda s, f: metrics.optima(metrics.distance_table(*_sides(s, f))), _with(_table_sql("l2"), _OPTIMA_SQL) + "SELECT query_id, optimum, second, multiplicity, margin, bucket FROM optima")
-_add("returned_rank", lambda s, f: _judged(s, f, "l2"), _with(_table_sql("l2"), _OPTIMA_SQL, _PREDICTED_SQL, _JUDGED_SQL) + "SELECT query_id, ref_id, returned, optimum, rank, ratio, optimal, margin, bucket FROM judged")
+_add("returned_rank", lambda s, f: _judged_by_table(s, f), _with(_table_sql("l2"), _OPTIMA_SQL, _PREDICTED_SQL, _JUDGED_SQL) + "SELECT query_id, ref_id, returned, optimum, rank, ratio, optimal, margin, bucket FROM judged")
 _EVALUATE_SQL = f"""SELECT count(*) AS queries, count(*) FILTER (WHERE optimal) AS optimal, count(*) FILTER (WHERE NOT optimal) AS non_optimal, count(*) FILTER (WHERE optimum = 0 AND NOT optimal) AS zero_optimum_misses,
 {_summary_sql("ratio", "ratio_")}, round(avg(ratio) FILTER (WHERE NOT optimal), 9) AS non_optimal_ratio_mean"""
 _add(
@@ -236,6 +246,7 @@ _add(
 _add("sampling_mass", lambda s, f: _round(sampling.sampling_mass(_probs(s, f)), 6, "mass"), _with(_probs_sql("l2")) + "SELECT round(sum(prob), 6) AS mass FROM probs")
 _add("uniform_probs", lambda s, f: _uniform(s), "SELECT j::INT AS j, 0.25e0 AS prob FROM range(64) t(j)")
 _add("importance_probs_blocked", lambda s, f: _round(sampling.importance_probabilities(refs(s, f), "l2", "blocked"), 9, "prob"), _with(_probs_sql("l2")) + "SELECT j, round(prob, 9) AS prob FROM probs")
+_add("importance_probs_relational", lambda s, f: _round(sampling.importance_probabilities(refs(s, f), "l2", "relational"), 9, "prob"), _with(_probs_sql("l2")) + "SELECT j, round(prob, 9) AS prob FROM probs")
 _add("importance_probs_gram", lambda s, f: _round(sampling.importance_probabilities(refs(s, f), "l2", "gram"), 9, "prob"), _with(_probs_sql("l2")) + "SELECT j, round(prob, 9) AS prob FROM probs")
 _add("coordinate_sample_importance", lambda s, f: _sample(s, f), _with(_probs_sql("l2"), _SAMPLE_SQL) + "SELECT j, multiplicity, inv_prob FROM drawn")
 _add("coordinate_sample_uniform", lambda s, f: sampling.coordinate_sample(_uniform(s), T, SEED), _with(_UNIFORM_SQL, _SAMPLE_SQL) + "SELECT j, multiplicity, inv_prob FROM drawn")

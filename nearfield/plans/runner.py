@@ -31,9 +31,7 @@ def probabilities(setup: Setup, refs: DataFrame) -> DataFrame:
 
 
 def build(run: Run, setup: Setup, refs: DataFrame, probs: DataFrame | None) -> NearestNeighborIndex:
-    strategy = SPARK_STRATEGY[run.strategy] if run.index == "exact" or setup.distance == "l2" else "array_scan"
-    if run.index == "hierarchical" and setup.distance == "l1":
-        strategy = "array_scan"
+    strategy = SPARK_STRATEGY[run.strategy]
     index = NearestNeighborIndex(Settings(setup.distance, run.index, run.repetitions or 0, run.seed or 0, run.projection_dimension or 0, strategy))
     if run.index == "uniform":
         return index.fit(refs, mass=sampling.sampling_mass(probs).first()[0])

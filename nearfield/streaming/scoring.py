@@ -8,7 +8,8 @@ from nearfield.operators.index import NearestNeighborIndex
 
 
 def score(stream: DataFrame, index: NearestNeighborIndex) -> DataFrame:
-    """(query_id, ref_id, dist) of a streaming DataFrame of queries; the index tables are static."""
+    """(query_id, ref_id, dist) of a streaming DataFrame of queries; the index tables are static and fit in one
+    broadcast, which is checked."""
     if not stream.isStreaming:
         raise ValueError("score takes a streaming DataFrame; use transform for a static one")
-    return index.with_strategy("array_scan").transform(stream)
+    return index.transform(stream)
