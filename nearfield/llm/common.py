@@ -157,11 +157,17 @@ def given(df: DataFrame, most_rows: int = 250_000, most_bytes: int = 32 << 20) -
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the files of a :func:`stored` table that nothing reads any more, and lets the driver notice which shuffles
-    nothing refers to: Spark deletes their files only after the driver has collected its garbage."""
+    """Deletes the files of a :func:`stored` table that nothing reads any more."""
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    tidied(spark)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Lets the driver notice which shuffles and broadcasts nothing refers to: Spark deletes them only after the driver
+    has collected its garbage. What this process's allocators keep goes back as well."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    give_back()

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import cut, give_back, given, lean, ship
+from nearfield.llm.common import cut, give_back, given, lean, ship, tidied
 
 BITS = 14
 SIZES = (2, 3, 4)
@@ -156,7 +156,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     place = F.pmod(F.xxhash64("key", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.join(given(counts), "label").where(place < each / F.col("n"))
     sample = chosen.limit(2 * each * languages).select("label", "text").mapInArrow(lean(_features_batches), "label string, own array<int>, share array<float>, at bigint")
-    found = sample.toArrow().sort_by([("label", "ascending"), ("at", "ascending")]).combine_chunks()
+    model = _trained(sample.toArrow())
+    tidied(spark)
+    return model
+
+
+def _trained(sample: pa.Table) -> LanguageModel:
+    found = sample.sort_by([("label", "ascending"), ("at", "ascending")]).combine_chunks()
     if not found.num_rows:
         return train([])
     labels = found.column("label").to_pylist()
