@@ -231,13 +231,14 @@ class Reduction:
     @classmethod
     def fetched(cls, sample: DataFrame, metric: str, matrix_: DataFrame | None = None, dimension: int = 0) -> Reduction:
         """From a sample, which has at most a row for each coordinate, and a projection, whose size is checked."""
-        drawn = sample.select("j", "multiplicity", "inv_prob").orderBy("j").toArrow()
+        drawn = sample.select("j", "multiplicity", "inv_prob").toArrow().sort_by("j")
         places, weights = drawn.column("j").to_numpy().astype(np.int64), drawn.column("multiplicity").to_numpy() * drawn.column("inv_prob").to_numpy()
         if matrix_ is not None:
             if 8 * dimension * len(places) > _BROADCAST_BYTES:
                 raise ValueError("the projection is too large to broadcast: take fewer repetitions or dimensions")
-            rows = matrix_.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("j", "coef"))).alias("r")).orderBy("k").select("r.coef").toArrow()
-            return cls(places, coefs=matrix(rows.column(0).combine_chunks()) if len(places) else np.zeros((dimension, 0)))
+            rows = matrix_.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("j", "coef"))).alias("r")).select("k", "r.coef").toArrow()
+            order = np.argsort(rows.column("k").to_numpy())
+            return cls(places, coefs=matrix(rows.column("coef").combine_chunks())[order] if len(places) else np.zeros((dimension, 0)))
         if metric == "l1":
             return cls(places, weights=weights)
         scales = np.sqrt(weights)

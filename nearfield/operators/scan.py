@@ -126,8 +126,10 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def collected(refs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ids and matrix of a reference set whose size has been checked, ordered by id."""
-    table = refs.select("ref_id", "vec").orderBy("ref_id").toArrow()
-    return table.column("ref_id").to_numpy(), matrix(table.column("vec").combine_chunks())
+    table = refs.select("ref_id", "vec").toArrow()
+    ids = table.column("ref_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], matrix(table.column("vec").combine_chunks())[order]
 
 
 def prepared(batch: pa.RecordBatch, prepare: Callable[[np.ndarray], np.ndarray] | None) -> np.ndarray:
