@@ -118,11 +118,11 @@ def char_spans(text: str, spans: list[list[int]]) -> list[dict[str, int]]:
 _scanners: dict[int, tuple[object, Scanner]] = {}
 
 
-def _scanner(windows: Broadcast) -> Scanner:
-    """The automaton of a broadcast, built once in each worker process."""
+def _scanner(windows: Broadcast, most: int = 1) -> Scanner:
+    """The automaton of a broadcast, built once in each worker process, which keeps ``most`` and one more."""
     key = id(windows.value)  # the worker keeps one value per broadcast
     if key not in _scanners:
-        if len(_scanners) > 1:
+        if len(_scanners) > most:
             _scanners.clear()
         _scanners[key] = windows.value, Scanner(windows.value)
     return _scanners[key][1]
@@ -155,15 +155,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10, shard_windows: int = 100_000, shard_bytes: int = 64_000_000) -> Column:
     """Whether the text of a row of ``docs`` holds a window of an item; false for null texts. See :func:`scan`."""
     held = F.lit(False)
-    for windows in _shards(docs.sparkSession, benchmark, item_col, item_text_col, length, shard_windows, shard_bytes):
-        held = held | _holds(windows)(F.col(text_col).cast("string"))
+    shared = _shards(docs.sparkSession, benchmark, item_col, item_text_col, length, shard_windows, shard_bytes)
+    for windows in shared:
+        held = held | _holds(windows, len(shared))(F.col(text_col).cast("string"))
     return held
 
 
-def _holds(shared: Broadcast):
+def _holds(shared: Broadcast, shards: int):
+    """Spark evaluates the functions of all shards batch by batch in one worker, so it keeps all their automata."""
+
     @F.arrow_udf("boolean")
     def holds(texts: pa.Array) -> pa.Array:
-        scanner = _scanner(shared)
+        scanner = _scanner(shared, shards)
         held = pa.array([bool(scanner.scan(words_of(x.as_py()))[0]) for x in texts], pa.bool_())
         give_back()
         return held
