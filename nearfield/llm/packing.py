@@ -9,6 +9,7 @@ padding.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -143,6 +144,47 @@ class Packer:
                     left -= size
 
 
+# The normalizer and pre-tokenizer of definitions whose words can be told apart.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def word_by_word(definition: str) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and never joins what it divides, as :class:`WordTokenizer` takes for granted."""
+    parts = json.loads(definition)
+    model, added = parts.get("model") or {}, parts.get("added_tokens") or []
+    return (
+        parts.get("normalizer") == _NORMALIZER
+        and parts.get("pre_tokenizer") == _PRE_TOKENIZER
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not model.get("dropout")
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(map(str.isspace, t["content"])) for t in added)
+    )
+
+
+class PlainTokenizer:
+    """Token ids of whole texts, by any tokenizer."""
+
+    def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def ids(self, text: str | None) -> bytes:
+        whole = (text or "").encode("utf-8", "replace").decode()
+        return np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def _letters(word: bytes) -> bool:
     """Whether a word is letters and stays so in lower case."""
     return word.isalpha() or word.decode().lower().isalpha()
@@ -216,15 +258,16 @@ class WordTokenizer:
         return (stem, mark) if mark and _letters(stem) else (word, b"")
 
 
-_tokenizers: dict[int, WordTokenizer] = {}
+_tokenizers: dict[int, WordTokenizer | PlainTokenizer] = {}
 
 
-def _tokenizer(definition: Broadcast) -> WordTokenizer:
+def _tokenizer(definition: Broadcast) -> WordTokenizer | PlainTokenizer:
     """One for each worker process and definition."""
     key = zlib.crc32(definition.value.encode())
     if key not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[key] = WordTokenizer(definition.value)
+        kind = WordTokenizer if word_by_word(definition.value) else PlainTokenizer
+        _tokenizers[key] = kind(definition.value)
     return _tokenizers[key]
 
 
@@ -234,7 +277,7 @@ _NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "of
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 2, block_tokens: int = 1 << 20, slack: int = 16, most_open: int = 256, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
 
-    The tokenizer's definition is read on the driver and broadcast; its size does not depend on the data. Tasks are
+    A tokenizer that :func:`word_by_word` knows costs a look-up a word, any other one encodes whole texts. Its definition is read on the driver and broadcast; its size does not depend on the data. Tasks are
     independent (nothing is shuffled), a task holds one block of tokens and ``most_open`` open windows, and it gives
     the same sequences when it is run again: sequence_id is its partition's number and a counter.
 
