@@ -23,6 +23,7 @@ from nearfield.llm.common import connected_components, cut, lean, ship
 
 _BITS = 64
 _BLOCK = 1 << 16
+_HOT = 2000  # a class with more than this part of the rows is hot, so there are fewer than this many
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -131,22 +132,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable over links, its own included; n_links counts the other fingerprints
     that this one links to. Rows with equal fingerprints are one class: only classes are joined, so a class of any
-    size costs one row.
+    size costs one row. What was found goes back to the rows of large classes by a broadcast of those classes, whose
+    number is bounded, and to all others by a join on the fingerprint.
 
     Defined cases: null, empty and blank texts have fingerprint zero and link like any other; ids that are null take
     part but are never a component_id (which is null if a component has null ids only); repeated rows stay, each
     with the same result; an empty table gives an empty result; other columns of ``docs`` are not read.
     """
     prints = cut(with_fingerprint(docs, id_col, text_col, shingle))
-    classes = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("least")))
+    classes = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count("*").alias("times")))
     found = cut(links(classes, max_bits, segments))
     ends = found.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_links"))
     parts = connected_components(found).select(F.col("node").alias("fingerprint"), "component")
     linked = classes.join(parts, "fingerprint").join(ends, "fingerprint")
     firsts = linked.groupBy("component").agg(F.min("least").alias("first"))
     linked = linked.join(firsts, "component").select("fingerprint", "first", "n_links")
-    known = classes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("first", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return prints.join(known, "fingerprint").select(
+    known = cut(classes.join(linked, "fingerprint", "left").select("fingerprint", "times", F.coalesce("first", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    total = known.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    hot = F.broadcast(known.where(F.col("times") * _HOT > total).drop("times"))
+    rest = prints.join(hot, "fingerprint", "left_anti").join(known.drop("times"), "fingerprint")
+    return prints.join(hot, "fingerprint").unionByName(rest).select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         "component_id",

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import os
 import random
 import struct
 import zipfile
@@ -104,6 +105,15 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_simhash_large_and_small_classes(spark):
+    texts = ["same words in all of these"] * 300 + [None] * 200 + [f"text number {k} alone" for k in range(2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: (r.component_id, r.fingerprint) for r in simhash.near_duplicates(docs).collect()}
+    assert len(found) == 3000 and {found[k][0] for k in range(300)} == {0}
+    prints = {k: plain_fingerprint(t) for k, t in enumerate(texts)}
+    assert {k: f[1] for k, f in found.items()} == {k: f"{p:016x}" for k, p in prints.items()}
+
+
 def test_simhash_empty(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
@@ -533,6 +543,22 @@ def test_word_tokenizer_is_exact():
         assert np.frombuffer(mine.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_only_known_definitions_go_word_by_word(spark):
+    from tokenizers import Tokenizer
+
+    known = open(tokenizer_path()).read()
+    assert packing.word_by_word(known)
+    other = os.path.join(os.path.dirname(tokenizer_path()), "byte_bpe_50k.json")
+    assert not packing.word_by_word(open(other).read()) and not packing.word_by_word(known.replace('"Lowercase"', '"Strip"'))
+    texts = ["Two  words\n and It's", "", None, "x \u4e2d\u6587 " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    plain = Tokenizer.from_file(other)
+    got = {}
+    for r in packing.pack(docs, other, with_ids=True).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).extend(r["ids"])
+    assert got == {k: [*plain.encode(t or "", add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
+
+
 # Line dedup
 
 
