@@ -379,6 +379,20 @@ def _unions(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("union_runs", _unions, f"SELECT name, reference, batch_size, count(*)::INT AS trials, round(median(us_per_query), 9) AS median_ms FROM (SELECT CASE WHEN seed < 12 THEN 'exact' ELSE name END AS name, seed < 12 AS reference, batch_size, us_per_query FROM ({_RUNS}) WHERE repetitions = 8) GROUP BY ALL")
 _add("figure_rows", lambda s, f: _round(summary.figure_rows(_runs(s, f), ["index", "repetitions"], ["us_per_query", "agreement"]), 9, "mean", "low", "high"), f"SELECT index, repetitions, metric, round(avg(x), 9) AS mean, round(min(x), 9) AS low, round(max(x), 9) AS high FROM (SELECT index, repetitions, unnest(['us_per_query', 'agreement']) AS metric, unnest([us_per_query, agreement]) AS x FROM ({_RUNS})) GROUP BY ALL")
+_add("label_counts", lambda s, f: summary.counts_by(s.read.parquet(f"{f}/documents.parquet"), "lang", "source"), "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
+_add("role_counts", lambda s, f: summary.role_counts(datasets.stratified_split(embeddings(s, f), 0.7, 42), "label", ["pool", "query"]), f"WITH {_SPLIT} SELECT label, count(*) FILTER (WHERE role = 'pool') AS pool, count(*) FILTER (WHERE role = 'query') AS query FROM s GROUP BY label")
+_add(
+    "matrix_summary",
+    lambda s, f: summary.matrix_summary(embeddings(s, f)).select("rows", "least_features", "features", F.col("minimum_value").cast("double").alias("low"), F.col("maximum_value").cast("double").alias("high"), "not_finite"),
+    "SELECT count(*) AS rows, min(len(embedding))::INT AS least_features, max(len(embedding))::INT AS features, min(list_min(embedding))::DOUBLE AS low, max(list_max(embedding))::DOUBLE AS high, sum(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))))::BIGINT AS not_finite FROM embeddings",
+)
+_add("table_payload", lambda s, f: embeddings(s, f).groupBy("label").agg(F.count("*").alias("queries")).select("label", summary.table_payload(F.col("queries"), F.lit(33)).alias("bytes")), "SELECT label, (8 * (count(*) * 33 + 2 * count(*)))::BIGINT AS bytes FROM embeddings GROUP BY label")
+_add("line_rows", lambda s, f: summary.line_rows(_runs(s, f), "flat-hierarchical", [8, 24, 40], [32, 64]).select("name", "index", "repetitions", "projection_dimension"), f"SELECT name, index, repetitions, projection_dimension FROM ({_RUNS}) WHERE index IN ('flat', 'hierarchical') AND repetitions IN (8, 24, 40) AND (index != 'hierarchical' OR projection_dimension IN (32, 64))")
+_add(
+    "wide_aggregates",
+    lambda s, f: summary.wide(summary.across_seeds(_runs(s, f), ["index", "repetitions"], ("index_bytes",))).select("index", "repetitions", "runs", "seeds", F.round("index_bytes_mean", 6).alias("index_bytes_mean"), "index_bytes_max"),
+    f"SELECT index, repetitions, count(*) AS runs, array_to_string(list_sort(list_distinct(list(seed))), ';') AS seeds, round(avg(index_bytes), 6) AS index_bytes_mean, max(index_bytes) AS index_bytes_max FROM ({_RUNS}) GROUP BY index, repetitions",
+)
 _add("sub_centroids", lambda s, f: datasets.sub_centroids(embeddings(s, f), 4, 32).select("label", "cluster", "size"), None)
 _add("synthetic_dataset", lambda s, f: (lambda rq: index.exact(strategy="direct").fit(rq[0]).transform(rq[1]))(datasets.synthetic(s, 16, 64, 512, 64)).select("query_id", "ref_id"), "SELECT q AS query_id, q % 16 AS ref_id FROM range(64) t(q)")
 

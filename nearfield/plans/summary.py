@@ -104,3 +104,77 @@ def figure_rows(runs: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """(configuration, metric, mean, min, max): what a figure plots."""
     parts = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("x")) for v in values])
     return runs.select(*by, F.explode(parts).alias("p")).where("p.x is not null").groupBy(*by, "p.metric").agg(F.avg("p.x").alias("mean"), F.min("p.x").alias("low"), F.max("p.x").alias("high"))
+
+
+def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n): how many rows each combination has, nulls included."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def role_counts(rows: DataFrame, key: str, roles: list[str], role: str = "role") -> DataFrame:
+    """By ``key`` one column for each of ``roles`` with the number of its rows, 0 where it has none."""
+    return rows.groupBy(key).agg(*[F.count_if(F.col(role) == r).alias(r) for r in roles])
+
+
+def matrix_summary(rows: DataFrame, column: str = "vec") -> DataFrame:
+    """One row: rows, the least and the largest number of values in a row, least and largest finite value, and how many
+    values are null, NaN or infinite. Rows whose array is null count as rows only; an empty table has null extremes."""
+    finite = F.filter(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    each = rows.select(F.size(column).alias("n"), F.size(finite).alias("good"), F.array_min(finite).alias("low"), F.array_max(finite).alias("high")).select(F.when(F.col("n") >= 0, F.col("n")).alias("n"), "good", "low", "high")
+    return each.agg(F.count("*").alias("rows"), F.min("n").alias("least_features"), F.max("n").alias("features"), F.min("low").alias("minimum_value"), F.max("high").alias("maximum_value"), F.coalesce(F.sum(F.col("n") - F.col("good")), F.lit(0)).alias("not_finite"))
+
+
+def table_payload(queries: Column, references: Column) -> Column:
+    """Bytes of a full table of distances with two numbers a query beside it, eight bytes each."""
+    return (queries.cast("bigint") * references + queries.cast("bigint") * 2) * 8
+
+
+def epsilon_suffix(epsilon: float) -> str:
+    """The number as the end of a column name: 0.05 is 0_05. The usual tenths keep two digits, as 0_10 and 0_20."""
+    usual = {0.1: "0_10", 0.2: "0_20"}  # fixed values
+    return usual.get(round(epsilon, 12), format(epsilon, ".12g").replace(".", "_").replace("-", "m"))
+
+
+def flattened(quality: DataFrame, failures: str, epsilons: list[float]) -> DataFrame:
+    """``quality`` with the structs' fields as columns (``struct_field``) and, in place of the array ``failures`` of
+    (epsilon, rate), a column approximation_failure_rate_epsilon_... for each of ``epsilons``, null where it has none."""
+    out: list[Column] = []
+    for field in quality.schema.fields:
+        if field.name == failures:
+            rates = F.map_from_entries(F.transform(failures, lambda x: F.struct(F.round(x["epsilon"], 12).cast("string"), x["rate"])))
+            out += [F.try_element_at(rates, F.round(F.lit(e), 12).cast("string")).alias(f"approximation_failure_rate_epsilon_{epsilon_suffix(e)}") for e in epsilons]
+        elif hasattr(field.dataType, "fields"):
+            out += [F.col(f"`{field.name}`").getField(f.name).alias(f"{field.name}_{f.name}") for f in field.dataType.fields]
+        else:
+            out.append(F.col(f"`{field.name}`"))
+    return quality.select(*out)
+
+
+def wide(aggregates: DataFrame) -> DataFrame:
+    """Aggregates of :func:`across_seeds` as a CSV file can hold them: arrays are joined by semicolons."""
+    arrays = {f.name for f in aggregates.schema.fields if hasattr(f.dataType, "elementType")}
+    return aggregates.select(*[F.array_join(F.col(c).cast("array<string>"), ";").alias(c) if c in arrays else F.col(c) for c in aggregates.columns])
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A folder of CSV files with a header; refuses to overwrite. Arrays are joined as in :func:`wide`."""
+    wide(rows).write.option("header", True).csv(path)
+
+
+# Which indexes a choice of lines shows.
+LINES = {"flat-uniform": ["flat", "uniform"], "flat-hierarchical": ["flat", "hierarchical"], "both": ["flat", "hierarchical"], "all": ["flat", "uniform", "hierarchical"]}
+
+
+def line_rows(aggregates: DataFrame, choice: str, repetitions: list[int] | None = None, projection_dimensions: list[int] | None = None, most: int | None = None) -> DataFrame:
+    """The configurations that a line plot shows: those of ``choice`` (a name of ``LINES`` or an index) with the given
+    repetitions and, for hierarchical ones, projections. Raises if there are none or, where ``most`` is given, more."""
+    rows = aggregates.where(F.col("index").isin(LINES.get(choice, [choice])))
+    if repetitions is not None:
+        rows = rows.where(F.col("repetitions").isin(repetitions))
+    if projection_dimensions is not None:
+        rows = rows.where((F.col("index") != "hierarchical") | F.col("projection_dimension").isin(projection_dimensions))
+    if most is not None:
+        found = rows.limit(most + 1).count()
+        if not 0 < found <= most:
+            raise ValueError("the choice of lines finds none" if not found else f"the choice of lines finds more than {most}")
+    return rows

@@ -5,9 +5,10 @@ import tarfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.operators import matrix
-from nearfield.plans import cli
+from nearfield.plans import cli, summary
 from nearfield.sources import storage
 
 
@@ -60,3 +61,34 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["sweep", "--setup", str(tmp_path / "s.tsv"), "--dry-run"]) == 0 and "would run" in capsys.readouterr().out
     assert cli.main(["run", "--setup", str(tmp_path / "s.tsv")]) == 0 and (tmp_path / "o.json").exists()
     assert cli.main(["sweep", "--setup", str(tmp_path / "s.tsv")]) == 0 and "agree" in capsys.readouterr().out
+
+
+def test_flattened_quality(spark):
+    rows = spark.createDataFrame(
+        [("a", (3, 1.5), [(0.05, 0.5), (0.1, 0.25)]), ("b", None, [])],
+        "name string, distance_ratio struct<count:int,mean:double>, failures array<struct<epsilon:double,rate:double>>",
+    )
+    out = summary.flattened(rows, "failures", [0.001, 0.05, 0.1])
+    ends = ["0_001", "0_05", "0_10"]
+    assert out.columns == ["name", "distance_ratio_count", "distance_ratio_mean", *(f"approximation_failure_rate_epsilon_{e}" for e in ends)]
+    assert [tuple(r) for r in out.orderBy("name").collect()] == [("a", 3, 1.5, None, 0.5, 0.25), ("b", None, None, None, None, None)]
+
+
+def test_matrix_summary_defined_cases(spark):
+    rows = spark.createDataFrame([([1.0, float("nan"), -2.0],), ([float("inf"), None],), (None,), ([],)], "vec array<double>")
+    assert tuple(summary.matrix_summary(rows).first()) == (4, 0, 3, -2.0, 1.0, 3)
+    assert tuple(summary.matrix_summary(rows.limit(0)).first()) == (0, None, None, None, None, 0)
+
+
+def test_lines_csv_and_digest(spark, tmp_path):
+    rows = spark.createDataFrame([("flat", 8, None, [1, 2]), ("hierarchical", 8, 16, [3]), ("uniform", 16, None, [4])], "index string, repetitions int, projection_dimension int, seeds array<int>")
+    assert summary.line_rows(rows, "both", [8], [16], most=2).count() == 2 and summary.line_rows(rows, "uniform", most=1).count() == 1
+    for choice, most in (("exact", 3), ("all", 2)):
+        with pytest.raises(ValueError):
+            summary.line_rows(rows, choice, most=most)
+    summary.write_csv(rows, str(tmp_path / "a"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "a"))
+    assert sorted(r.seeds for r in back.collect()) == ["1;2", "3", "4"]
+    refs = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(300)], "ref_id bigint, vec array<double>")
+    first = storage.digest(refs)
+    assert first == storage.digest(refs.orderBy(F.desc("ref_id")).repartition(5)) != storage.digest(refs.where("ref_id > 0"))
