@@ -47,15 +47,22 @@ def across_seeds(runs: DataFrame, by: list[str], values: tuple[str, ...] = VALUE
     return runs.groupBy(*by).agg(*out)
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """a / b of numbers that may be zero, as floating point has it: infinite over zero, NaN for zero over zero."""
+    over_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    return F.when(b == 0, over_zero).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
+
+
 def hierarchical_against_flat(runs: DataFrame) -> DataFrame:
-    """Each hierarchical run beside the flat run with the same draws; they must have sampled the same coordinates."""
+    """Each hierarchical run beside the flat run with the same draws; they must have sampled the same coordinates. Over
+    a flat run of no bytes size_ratio is infinite, or NaN."""
     keys = ["repetitions", "seed", "backend", "strategy", "batch_size"]
     pick = [*keys, *VALUES]
     flat = runs.where("index = 'flat'").select(*keys, *[F.col(v).alias(f"flat_{v}") for v in VALUES])
     rows = runs.where("index = 'hierarchical'").select("name", "projection_dimension", *pick).join(flat, keys)
     same = (F.col("unique_coordinates") == F.col("flat_unique_coordinates")) & (F.col("total_multiplicity") == F.col("flat_total_multiplicity"))
     delta = F.when(same, F.col("us_per_query") - F.col("flat_us_per_query")).otherwise(F.raise_error(F.lit("a hierarchical run has other coordinates than its flat run")).cast("double"))
-    return rows.select("name", "projection_dimension", *keys, delta.alias("delta_us"), (F.col("agreement") - F.col("flat_agreement")).alias("delta_agreement"), F.try_divide("index_bytes", "flat_index_bytes").alias("size_ratio"))
+    return rows.select("name", "projection_dimension", *keys, delta.alias("delta_us"), (F.col("agreement") - F.col("flat_agreement")).alias("delta_agreement"), _quotient(F.col("index_bytes"), F.col("flat_index_bytes")).alias("size_ratio"))
 
 
 def pareto(runs: DataFrame, cost: str, value: str, larger_is_better: bool, by: list[str] | None = None) -> DataFrame:

@@ -38,3 +38,15 @@ def test_query_matches_sql(spark, tables, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 467
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_flat_vs_hier_over_zero_bytes_and_halves(spark, tmp_path):
+    # 205/3200 and 1615/3200 are halves at the sixth digit that no product with a power of ten shows
+    con = duckdb.connect()
+    con.execute("CREATE TABLE supplier (s_suppkey BIGINT, s_nationkey INT, s_acctbal DOUBLE)")
+    for key, seed in [(0, 1), (5, 1), (3200, 2), (205, 2), (1615, 2), (3205, 2)]:
+        con.execute("INSERT INTO supplier VALUES (?, ?, ?)", [key, seed, key * 1.25 - 3])
+    con.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    found = catalog.QUERIES["flat_vs_hier"](spark, str(tmp_path)).select("name", "repetitions", "seed", "delta_us", "delta_agreement", "size_ratio").collect()
+    expected = con.execute(catalog.SQL["flat_vs_hier"]).fetchall()
+    assert normal(found) == normal(expected) and any(r[5] == float("inf") for r in expected)
