@@ -50,6 +50,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: a Jaccard similarity of 0.8 or more over shingles of five words.
 
+    Pairs are found by SimHash fingerprints under a Hamming bound, and those beyond it by min-hash bands; both are checked.
     The row with the smallest id stays, nulls last; see :func:`similar.first_rows` for ids that are null or shared,
     repeated rows and blank texts.
     """

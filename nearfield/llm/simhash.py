@@ -10,7 +10,7 @@ what is left before the full Hamming check.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -26,6 +26,17 @@ _BLOCK = 1 << 16
 _HOT = 2000  # a class with more than this part of the rows is hot, so there are fewer than this many
 
 
+def of_hashes(blocks: Iterable[Sequence[int] | np.ndarray]) -> int:
+    """The fingerprint of unsigned 64-bit hashes: each bit that over half of them have."""
+    total, count = np.zeros(_BITS, np.int64), 0
+    for hashes in blocks:
+        bits = np.unpackbits(np.asarray(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        for n in range(0, len(bits), 255):  # a byte holds the count of 255 rows
+            total += np.add.reduce(bits[n : n + 255], axis=0, dtype=np.uint8)
+        count += len(bits)
+    return int.from_bytes(np.packbits(total * 2 > count).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     """The unsigned 64-bit fingerprint of one text; 0 where there is no word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
@@ -38,14 +49,9 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - shingle + 1]
     ends = ends[shingle - 1 :]
-    total = np.zeros(_BITS, np.int64)
     digest = xxhash.xxh64_intdigest
-    for k in range(0, len(starts), _BLOCK):
-        hashes = [digest(joined[i:j], seed) for i, j in zip(starts[k : k + _BLOCK].tolist(), ends[k : k + _BLOCK].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        for n in range(0, len(bits), 255):  # a byte holds the count of 255 rows
-            total += np.add.reduce(bits[n : n + 255], axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big")
+    blocks = ([digest(joined[i:j], seed) for i, j in zip(starts[k : k + _BLOCK].tolist(), ends[k : k + _BLOCK].tolist(), strict=True)] for k in range(0, len(starts), _BLOCK))
+    return of_hashes(blocks)
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

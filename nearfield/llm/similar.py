@@ -1,7 +1,8 @@
-"""Near copies by the Jaccard similarity of their word shingles: candidates by banded min-hashes, an exact check.
+"""Near copies by the Jaccard similarity of their word shingles: candidates by SimHash and banded min-hashes, an exact check.
 
-A 64-bit SimHash can't be a filter at a similarity of 0.8: such pairs differ in about ten bits, with a deviation of
-three, and a bound that lets them through has segments of four bits. Bands of min-hashes link them with probability
+Fingerprints within ``max_bits`` of each other come first, found by :func:`simhash.links`. A 64-bit SimHash can't be the
+only filter at a similarity of 0.8: such pairs differ in about ten bits, with a deviation of three, and a bound that
+lets them through has segments of four bits. Bands of min-hashes find the pairs beyond the bound, with probability
 ``1 - (1 - s**rows)**bands`` and need equi-joins only.
 
 Texts with equal sets of shingles are one node. The nodes of a bucket are compared with one of them in some rounds, in
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm import simhash
 from nearfield.llm.common import connected_components, cut, dropped, given, lean, ship, stored, tidied
 from nearfield.llm.substring import _mix, shingle_hashes
 
@@ -68,20 +70,22 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prints(rows: DataFrame, kind: str, shingle: int, bands: int, per_band: int) -> DataFrame:
-    """(id, doc, node, size, keys) of rows (id, doc, text): a hash of the set of shingles, its size, its band keys."""
+    """(id, doc, node, size, fingerprint, keys) of rows (id, doc, text): a hash of the set of shingles, its size, its
+    SimHash, its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in batch.column(2):
                 tokens = shingle_set(text.as_py(), shingle)
                 nodes.append(xxhash.xxh64_intdigest(tokens.tobytes()))
                 sizes.append(len(tokens))
+                prints.append(simhash.of_hashes([tokens]))
                 keys.append(band_keys(tokens, bands, per_band).view(np.int64) if len(tokens) else [])
-            columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "doc", "node", "size", "keys"])
+            columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "doc", "node", "size", "fingerprint", "keys"])
 
-    return rows.mapInArrow(lean(run), f"id {kind}, doc bigint, node bigint, size int, keys array<bigint>")
+    return rows.mapInArrow(lean(run), f"id {kind}, doc bigint, node bigint, size int, fingerprint bigint, keys array<bigint>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -105,13 +109,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _components(spark, buckets: DataFrame, sets: DataFrame, similarity: float, rounds: int) -> DataFrame:
-    """(node, component) of the nodes that a verified pair links; every pair of a bucket is in one component or was
-    compared. ``buckets`` has (key, node, size)."""
+def _near_prints(classes: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    """(a, b): nodes whose SimHashes differ in ``max_bits`` at most and whose sizes allow the similarity. Of the nodes of
+    one fingerprint the least stands for all: it is paired with each of them and with those of other fingerprints."""
+    nodes = classes.where("size > 0").select("fingerprint", "node", "size")
+    firsts = cut(nodes.groupBy("fingerprint").agg(F.min(F.struct("node", "size")).alias("first")))
+    same = nodes.join(firsts, "fingerprint").select(F.col("first.node").alias("a"), F.col("first.size").alias("m"), F.col("node").alias("b"), F.col("size").alias("n")).where("a != b")
+    found = cut(simhash.links(firsts.select("fingerprint"), max_bits, max_bits + 1).select("a", "b"))
+    side = lambda name, node, size: firsts.select(F.col("fingerprint").alias(name), F.col("first.node").alias(node), F.col("first.size").alias(size))
+    between = found.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").select(F.col("p").alias("a"), "m", F.col("q").alias("b"), "n")
+    pairs = same.union(between).where(F.least("m", "n") >= similarity * F.greatest("m", "n"))
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _components(spark, buckets: DataFrame, sets: DataFrame, similarity: float, rounds: int, tested: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that a verified pair links, those of ``tested`` first; every pair of a bucket is
+    in one component or was compared. ``buckets`` has (key, node, size)."""
     fits = F.least("size", "other_size") >= similarity * F.greatest("size", "other_size")
     ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-    tested = spark.createDataFrame([], "a bigint, b bigint")
     parts = spark.createDataFrame([], "node bigint, component bigint")
+    links = cut(_linked(tested, sets, similarity))
+    if not links.isEmpty():
+        parts = _merged(parts, links)
     for k in range(rounds + 1):
         labelled = buckets.join(parts, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("label"))
         open_keys = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("label", F.lit(k)).alias("draw"), "label", "node", "size")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
@@ -145,12 +164,12 @@ def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return cut(known.join(found, "label", "left").select("node", F.coalesce("component", "label").alias("component")))
 
 
-def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 24, per_band: int = 6, rounds: int = 2) -> DataFrame:
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 24, per_band: int = 6, rounds: int = 2, max_bits: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the smallest id, nulls last, and among rows of
     one id that with the smallest hash of its text.
 
-    A pair of similarity s is compared with probability ``1 - (1 - s**per_band)**bands``, and linked only if its exact
-    similarity is enough. What is decided is rows, not ids: rows that share an id go or stay by their own texts.
+    A pair whose SimHashes differ in ``max_bits`` at most is compared, any other one of similarity s with probability
+    ``1 - (1 - s**per_band)**bands``; it is linked only if its exact similarity is enough. What is decided is rows, not ids: rows that share an id go or stay by their own texts.
 
     Defined cases: null and blank texts are one group, similar to nothing else; a text of fewer words than a shingle
     is similar to equal ones only; of rows that repeat both id and text one stays (the least by all its columns); an
@@ -163,16 +182,17 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(own.alias("id"), F.xxhash64(text).alias("doc"), text.alias("text"))
     prints = stored(_prints(rows, kind, shingle, bands, per_band), "prints")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc")
-    classes = stored(prints.groupBy("node").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
+    classes = stored(prints.groupBy("node").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys")), "classes")
     buckets = classes.select("node", "size", F.explode("keys").alias("key"))
     shared = cut(buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     buckets = stored(buckets.join(given(shared, 1_000_000), "key", "left_semi"), "buckets")
-    wanted = cut(buckets.select("node").distinct())
+    near = _near_prints(classes, max_bits, similarity)
+    wanted = cut(buckets.select("node").union(near.select("a")).union(near.select("b")).distinct())
     same = lambda a, b: (a["doc"] == b["doc"]) & a["id"].eqNullSafe(b["id"])
     owners = cut(classes.join(wanted, "node", "left_semi").select("least.id", "least.doc").distinct())
     some = given(owners)
     sets = stored(_sets(rows.join(some, same(rows, some), "left_semi"), shingle).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    parts = _components(spark, buckets, sets, similarity, rounds)
+    parts = _components(spark, buckets, sets, similarity, rounds, near)
 
     known = classes.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("label"))
     firsts = known.groupBy("label").agg(F.min("least").alias("first"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from nearfield.llm import similar
+from nearfield.llm import similar, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -137,3 +137,18 @@ def test_parity_bitmaps_rule_out_no_similar_pair():
             b = np.unique(np.concatenate([a[rng.random(len(a)) > share], rng.integers(0, 2**63, int(share * n)).astype(np.uint64)]))
             differing = int(sum(int(x).bit_count() for x in (similar.parity_bitmap(a) ^ similar.parity_bitmap(b)).view(np.uint64)))
             assert differing <= len(np.setxor1d(a, b))
+
+
+def test_near_copies_by_simhash_beyond_the_bands(spark):
+    rng = random.Random(43)
+    rows = []
+    for k in range(12):
+        tokens = [f"w{rng.randrange(100_000)}" for _ in range(800)]
+        rows.append((2 * k, " ".join(tokens)))
+        tokens[400] = "changed"
+        rows.append((2 * k + 1, " ".join(tokens)))
+    sets = [similar.shingle_set(t) for _, t in rows]
+    near = [k for k in range(12) if (simhash.of_hashes([sets[2 * k]]) ^ simhash.of_hashes([sets[2 * k + 1]])).bit_count() <= 4]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in similar.first_rows(docs, bands=1, per_band=600).collect()}  # one band of 600 rows finds hardly any
+    assert len(near) >= 6 and not kept & {2 * k + 1 for k in near}
