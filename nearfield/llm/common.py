@@ -156,6 +156,13 @@ def given(df: DataFrame, most_rows: int = 250_000, most_bytes: int = 32 << 20) -
     return F.broadcast(df) if size <= most_bytes else df
 
 
+def executors_tidied(spark: SparkSession) -> None:
+    """Lets the executors collect their garbage, after which their heaps shrink: Python workers need the memory of a
+    machine that a heap, once grown, keeps. One small task for each slot; a slot that gets none keeps its heap."""
+    slots = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, slots, 1, slots).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a :func:`stored` table that nothing reads any more."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from nearfield.llm import similar, simhash
+from nearfield.llm import common, similar, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -152,3 +152,14 @@ def test_near_copies_by_simhash_beyond_the_bands(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = {r.doc_id for r in similar.first_rows(docs, bands=1, per_band=600).collect()}  # one band of 600 rows finds hardly any
     assert len(near) >= 6 and not kept & {2 * k + 1 for k in near}
+
+
+def test_stages_let_executors_collect_their_garbage(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "executors_tidied", lambda s: calls.append(s))
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id bigint, text string")
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "packing":
+            assert stage(spark, docs, "").agg({"length": "sum"}).first()[0] > 5
+    assert calls == [spark]
+    common.executors_tidied(spark)
