@@ -10,11 +10,14 @@ put together and every aligned sub-sequence in them is verified.
 
 Two sub-sequences of similarity s collide under each of the ``hashes`` functions with probability s; what takes part has
 collisions under ``collisions`` of them at least. Rows of a key are compared with its first document. Sub-sequences that
-this doesn't verify, under keys that still have several documents, belong to common stretches that many documents share
-without being similar. They are compared without regard to keys: by equal content, and then by the rarest tokens of
-each sub-sequence: two sets of Jaccard similarity s share one of their rarest ``n - ceil(s * n) + 1`` tokens, and those
-of a common stretch are not rare. Under each of these tokens a sub-sequence is compared with the first document that
-has it. No group is ever expanded into pairs.
+this doesn't verify, under keys that have other documents too, belong to common stretches that many documents share
+without being similar. They are compared, with each other and with the verified ones of these keys, without regard to
+keys: by equal content, and then by the rarest tokens of each sub-sequence: two sets of sizes m and n and of Jaccard
+similarity s have ``s / (1 + s) * (m + n)`` tokens in common, so the first token that they share, in the order of
+rarity, has as many left in both from itself on, and those of a common stretch are not rare. Under each of these tokens
+a sub-sequence is compared with the first document that has it; if it isn't similar to that one, with all others whose
+bitmaps of tokens allow as many in common. So of the pairs of a token only those are not compared that are both similar
+to one third, which links them. Texts that are equal as a whole are one document in all of this.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from nearfield.llm.common import connected_components, cut, dropped, given, lean
 
 _PLACE_BITS = 20
 _MOST = 1 << _PLACE_BITS
+_FILL = 1 << 15  # tokens of short texts that are worked on together: what a processor's cache holds
+_BITS = ["bits0", "bits1", "bits2", "bits3"]  # a bitmap of tokens
 _MAP_WORDS = 1 << 21  # of the bitmap of keys: 16 MiB, whatever the input
 _SKETCH = 1 << 22  # buckets of the counts of tokens: 16 MiB
 
@@ -60,13 +65,11 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each run of ``width`` values."""
     n = len(x) - width + 1
-    blocks = -(-len(x) // width)
-    padded = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(x)] = x
-    grid = padded.reshape(blocks, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    least, size = x, 1  # minima of runs of size values
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    return np.minimum(least[:n], least[width - size : width - size + n])
 
 
 def compact_windows(tokens: np.ndarray, owners: np.ndarray, width: int, function: int) -> tuple[np.ndarray, ...]:
@@ -105,7 +108,7 @@ def _blocks(batch: pa.RecordBatch, width: int, shingle: int) -> Iterator[tuple[n
             part = tokens[at : at + _MOST // 2 + width - 1]
             if len(part) < width:
                 continue
-            if size + len(part) > _MOST:
+            if block and size + len(part) > _FILL:
                 yield done()
                 block, size = [], 0
             block.append((row, at, part))
@@ -126,7 +129,7 @@ def _key_bitmap(docs: DataFrame, width: int, hashes: int, shingle: int) -> np.nd
                     key = key[np.unique(own, return_index=True)[1]]  # once a document
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
-    keys = docs.mapInArrow(lean(run), "key bigint").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    keys = docs.mapInArrow(lean(_packed(run)), "key bigint").groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     word = F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(_MAP_WORDS - 1)).cast("int")
     one = F.expr("shiftleft(1L, cast(key & 63 as int))")
     found = keys.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
@@ -159,7 +162,7 @@ def _windows(docs: DataFrame, kind: str, width: int, hashes: int, shingle: int,
                     columns = [pa.array(key.view(np.int64)), ids, *(pa.array((x + before[own]).astype(np.int32)) for x in (first, last, at))]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "first", "last", "at"])
 
-    return docs.mapInArrow(lean(run), f"key bigint, id {kind}, first int, last int, at int")
+    return docs.mapInArrow(lean(_packed(run)), f"key bigint, id {kind}, first int, last int, at int")
 
 
 def _unpacked(ranges: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -183,29 +186,29 @@ def range_hashes(tokens: np.ndarray, starts: np.ndarray, width: int, odd: int) -
     return (total[starts + width] - total[starts]) * back[starts]
 
 
-def _contents(docs: DataFrame, rows: DataFrame, verified: DataFrame, kind: str, width: int, shingle: int) -> DataFrame:
-    """(content, more, id, x): 128 bits of hashes of each sub-sequence of ``width`` tokens that begins in a row's starts
-    and in no passage of ``verified``."""
+def _contents(docs: DataFrame, rows: DataFrame, left: DataFrame, kind: str, width: int, shingle: int) -> DataFrame:
+    """(content, more, id, x, open): 128 bits of hashes of each sub-sequence of ``width`` tokens that begins in the starts
+    of ``rows``, and whether these are starts of a row of ``left`` too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text, ranges in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 tokens = shingle_hashes(text.as_py(), shingle)
-                wanted = np.zeros(len(tokens) + 1, np.int32)
                 starts, ends = _unpacked(ranges)
-                weight = np.where(ends > 0, 1, -(1 << 20)).astype(np.int32)  # starts that are verified have negative ends
-                np.add.at(wanted, starts, weight)
-                np.add.at(wanted, np.abs(ends), -weight)
+                wanted, opened = np.zeros((2, len(tokens) + 1), np.int32)
+                for held, some in ((wanted, ends > 0), (opened, ends < 0)):  # those of rows that are left have negative ends
+                    np.add.at(held, starts[some], 1)
+                    np.add.at(held, np.abs(ends[some]), -1)
                 own = np.flatnonzero(np.cumsum(wanted) > 0)
                 if not len(own):
                     continue
                 content, more = (_mix(range_hashes(x, own, width, odd)) for x, odd in ((tokens, 0x9E3779B97F4A7C15), (_mix(tokens), 0xD6E8FEB86659FD93)))
-                columns = [pa.array(content.view(np.int64)), pa.array(more.view(np.int64)), pa.repeat(key, len(own)), pa.array(own.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["content", "more", "id", "x"])
+                columns = [pa.array(content.view(np.int64)), pa.array(more.view(np.int64)), pa.repeat(key, len(own)), pa.array(own.astype(np.int32)), pa.array(np.cumsum(opened)[own] > 0)]
+                yield pa.RecordBatch.from_arrays(columns, names=["content", "more", "id", "x", "open"])
 
     wanted = rows.select("id", F.col("first").alias("start"), (F.col("last") + 1).alias("end")).distinct()
-    done = verified.select("id", "start", (width - 1 - F.col("end")).alias("end")).distinct().join(given(cut(wanted.select("id").distinct())), "id", "left_semi")
-    return _ranges(docs, wanted.union(done)).mapInArrow(lean(_packed(run)), f"content bigint, more bigint, id {kind}, x int")
+    opened = left.select("id", F.col("first").alias("start"), (-1 - F.col("last")).alias("end")).distinct()
+    return _ranges(docs, wanted.union(opened)).mapInArrow(lean(_packed(run)), f"content bigint, more bigint, id {kind}, x int, open boolean")
 
 
 def _packed(run, rows: int = 1 << 16):
@@ -213,21 +216,24 @@ def _packed(run, rows: int = 1 << 16):
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size = 0
         for batch in run(batches):
             held.append(batch)
-            if sum(b.num_rows for b in held) >= rows:
+            size += batch.num_rows
+            if size >= rows:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held = []
+                held, size = [], 0
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return whole
 
 
-def rare_tokens(tokens: np.ndarray, starts: np.ndarray, width: int, similarity: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, start) of the rarest tokens of the sub-sequences that begin at ``starts``: as many of each as a similar
-    one must share one of. The order is by ``counts`` of the tokens' buckets, then by the tokens."""
-    places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def rare_tokens(tokens: np.ndarray, starts: np.ndarray, width: int, similarity: float, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, start, room, size) of the rarest tokens of the sub-sequences that begin at ``starts``: as many of each as a
+    similar one must share one of. The order is by ``counts`` of the tokens' buckets, then by the tokens; room is the
+    number of different tokens from this one on, size that of all."""
+    found = [[np.zeros(0, np.int64)] for _ in range(4)]
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((tokens, counts[_bucket(tokens)]))] = np.arange(len(tokens))  # tokens that are equal are neighbours
     for k in range(0, len(starts), 4096):
@@ -238,42 +244,55 @@ def rare_tokens(tokens: np.ndarray, starts: np.ndarray, width: int, similarity:
         fresh = np.ones(here.shape, bool)
         fresh[:, 1:] = here[:, 1:] != here[:, :-1]
         nth = np.cumsum(fresh, axis=1)  # number of different tokens so far
-        most = nth[:, -1:] - np.ceil(similarity * nth[:, -1:] - 1e-9) + 1
-        wanted = fresh & (nth <= most) & (counts[_bucket(here)] > 1)
-        places.append(place[wanted])
-        found.append(np.repeat(own, wanted.sum(axis=1)))
-    return np.concatenate(places), np.concatenate(found)
+        room = nth[:, -1:] - nth + 1
+        wanted = fresh & (room >= similarity * nth[:, -1:] - 1e-9) & (counts[_bucket(here)] > 1)
+        times = wanted.sum(axis=1)
+        for into, values in zip(found, (place[wanted], np.repeat(own, times), room[wanted], np.repeat(nth[:, -1], times)), strict=True):
+            into.append(values)
+    return tuple(map(np.concatenate, found))
+
+
+def token_bitmaps(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A row of words for each range, whose bits tell where its tokens fall."""
+    lengths = ends - starts
+    row = np.repeat(np.arange(len(starts)), lengths)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths - starts, lengths)
+    bits = np.zeros((len(starts), 64 * len(_BITS)), np.uint8)
+    bits[row, (tokens[place] >> np.uint64(20)).astype(np.int64) % bits.shape[1]] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(42)).astype(np.int64) % _SKETCH
 
 
-def _rare_pairs(docs: DataFrame, starts: DataFrame, kind: str, width: int, similarity: float, shingle: int) -> DataFrame:
-    """(id, other, shift, x, y) of the sub-sequences in ``starts`` (id, x, alone) and the first ones that share one of
-    their rarest tokens, aligned at that token; one of the two at least is alone."""
+def _rare_rows(docs: DataFrame, starts: DataFrame, kind: str, width: int, similarity: float, shingle: int) -> DataFrame:
+    """(token, id, place, x, y, open, room, size, bitmap) of the sub-sequences in ``starts`` (id, x, open) that have
+    one place among their rarest, as ranges of starts: the largest room and the least size of each, and a bitmap of all
+    its tokens."""
     spark = docs.sparkSession
-    texts = _ranges(docs, starts.select("id", F.col("x").alias("start"), F.col("alone").cast("int").alias("end")))
+    texts = _ranges(docs, starts.select("id", F.col("x").alias("start"), F.col("open").cast("int").alias("end")))
 
     def own(text: pa.Scalar, ranges: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tokens = shingle_hashes(text.as_py(), shingle)
-        x, alone = _unpacked(ranges)
+        x, opened = _unpacked(ranges)
         order = np.argsort(x, kind="stable")
-        return tokens, x[order], alone[order] > 0
+        return tokens, x[order], opened[order] > 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_SKETCH, np.int32)
+        total, opens = np.zeros((2, _SKETCH), np.int32)
         for batch in batches:
             for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
-                tokens, x, _ = own(text, ranges)
-                held = np.zeros(len(tokens) + 1, np.int32)
-                np.add.at(held, x, 1)
-                np.add.at(held, x + width, -1)
-                np.add.at(total, _bucket(np.unique(tokens[np.cumsum(held[:-1]) > 0])), 1)
+                tokens, x, opened = own(text, ranges)
+                for into, some in ((total, x), (opens, x[opened])):
+                    held = np.zeros(len(tokens) + 1, np.int32)
+                    np.add.at(held, some, 1)
+                    np.add.at(held, some + width, -1)
+                    np.add.at(into, _bucket(np.unique(tokens[np.cumsum(held[:-1]) > 0])), 1)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some]), pa.array(opens[some] > 0)], names=["bucket", "c", "open"])
 
-    table = texts.mapInArrow(lean(count), "bucket int, c int").groupBy("bucket").agg(F.least(F.sum("c"), F.lit(2**31 - 1)).cast("int").alias("c")).where("c > 1").toArrow()
+    table = texts.mapInArrow(lean(count), "bucket int, c int, open boolean").groupBy("bucket").agg(F.least(F.sum("c"), F.lit(2**31 - 1)).cast("int").alias("c"), F.max("open").alias("open")).where("c > 1 and open").select("bucket", "c").toArrow()
     counts = np.ones(_SKETCH, np.int32)
     counts[table.column("bucket").to_numpy()] = table.column("c").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
@@ -281,24 +300,91 @@ def _rare_pairs(docs: DataFrame, starts: DataFrame, kind: str, width: int, simil
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text, ranges in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                tokens, x, alone = own(text, ranges)
-                place, start = rare_tokens(tokens, x, width, similarity, shared.value)
+                tokens, x, opened = own(text, ranges)
+                place, start, room, size = rare_tokens(tokens, x, width, similarity, shared.value)
                 if not len(place):
                     continue
-                single = alone[np.searchsorted(x, start)]
-                order = np.lexsort((start, place))
-                place, start, single = place[order], start[order], single[order]
+                far = room < 2 * similarity / (1 + similarity) * size - 1e-9  # of use with smaller sets only
+                order = np.lexsort((start, far, place))
+                place, start, room, size, far = (v[order] for v in (place, start, room, size, far))
                 # runs of starts that have one place among their rarest
-                begins = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] > start[:-1] + 1)]))
-                ends = np.append(begins[1:], len(place)) - 1
-                columns = [pa.array(tokens[place[begins]].view(np.int64)), pa.repeat(key, len(begins)), pa.array(place[begins].astype(np.int32)), pa.array(start[begins].astype(np.int32)), pa.array(start[ends].astype(np.int32)), pa.array(np.maximum.reduceat(single, begins))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "id", "place", "x", "y", "alone"])
-
-    rows = stored(texts.mapInArrow(lean(_packed(rare)), f"token bigint, id {kind}, place int, x int, y int, alone boolean"), "rare-tokens")
-    hubs = rows.groupBy("token").agg(F.min(F.struct("id", "place", "x", "y", "alone")).alias("hub"), F.max("id").alias("most")).where("hub.id != most").select("token", "hub")
-    pairs = rows.join(hubs, "token").where("id != hub.id and (alone or hub.alone)").withColumn("shift", F.col("place") - F.col("hub.place"))
-    pairs = pairs.select("id", F.col("hub.id").alias("other"), "shift", F.greatest("x", F.col("hub.x") + F.col("shift")).alias("x"), F.least("y", F.col("hub.y") + F.col("shift")).alias("y"))
-    return pairs.where("x <= y").distinct()
+                begins = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (far[1:] != far[:-1]) | (start[1:] > start[:-1] + 1)]))
+                first, last = start[begins], start[np.append(begins[1:], len(place)) - 1]
+                single = np.maximum.reduceat(opened[np.searchsorted(x, start)], begins)
+                ints = (place[begins], first, last, np.maximum.reduceat(room, begins), np.minimum.reduceat(size, begins))
+                at, x0, y0, most, least = (pa.array(v.astype(np.int32)) for v in ints)
+                bits = map(pa.array, np.ascontiguousarray(token_bitmaps(tokens, first, last + width).T))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[place[begins]].view(np.int64)), pa.repeat(key, len(begins)), at, x0, y0, pa.array(single), most, least, *bits], names=["token", "id", "place", "x", "y", "open", "room", "size", *_BITS])
+
+    schema = f"token bigint, id {kind}, place int, x int, y int, open boolean, room int, size int" + "".join(f", {b} bigint" for b in _BITS)
+    return stored(texts.mapInArrow(lean(_packed(rare)), schema), "rare-tokens")
+
+
+def _rare_pairs(rows: DataFrame, others: DataFrame, width: int, similarity: float, skip: bool = False) -> DataFrame:
+    """(id, other, shift, x, y) of ``rows`` and ``others`` (columns o_...) of one token, aligned at that token, without
+    pairs that can't be similar or of which neither is open: the common tokens are at most those from the first common
+    one on, and at most those whose bits both have. ``skip`` leaves out those of one label that are both covered."""
+    a, o = F.col, lambda c: F.col(f"o_{c}")
+    needed = (a("size") + o("size")) * (similarity / (1 + similarity)) - 1e-6
+    pairs = rows.join(others, a("token") == o("token")).where((a("id") != o("id")) & (a("open") | o("open")))
+    if skip:
+        pairs = pairs.where((a("label") != o("label")) | ~(a("covered") & o("covered")))
+    shift = a("place") - o("place")
+    x, y = F.greatest(a("x"), o("x") + shift), F.least(a("y"), o("y") + shift)
+    pairs = pairs.where((x <= y) & (F.least("room", "o_room") >= needed))
+    for p, q in ((a, o), (o, a)):  # the tokens of p's range without those that q's bitmap rules out
+        out = sum((F.bit_count(p(b).bitwiseAND(F.bitwise_not(q(b)))) for b in _BITS), F.lit(0))
+        pairs = pairs.where(p("y") - p("x") + width - out >= needed)
+    return pairs.select("id", o("id").alias("other"), shift.alias("shift"), x.alias("x"), y.alias("y"))
+
+
+def _spans(sides: DataFrame) -> DataFrame:
+    """(id, start, end) of passages without those that lie within another one of their document."""
+    order = Window.partitionBy("id").orderBy("start", F.desc("end"))
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return sides.select("id", "start", "end").distinct().withColumn("before", before).where("before is null or end > before").drop("before")
+
+
+def _unknown(pairs: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """The aligned starts (id, other, shift, x, y) without those that lie in a passage of ``found``, seen from either side."""
+    sides = found.select("id", "start", "end", "other", "other_start").union(found.select("other", "other_start", (F.col("other_start") + F.col("end") - F.col("start")).alias("end"), "id", "start"))
+    sides = sides.select(F.col("id").alias("i"), F.col("other").alias("o"), (F.col("start") - F.col("other_start")).alias("s"), F.col("start").alias("from"), (F.col("end") - width).alias("to"))
+    inside = (F.col("id") == F.col("i")) & (F.col("other") == F.col("o")) & (F.col("shift") == F.col("s")) & (F.col("x") >= F.col("from")) & (F.col("y") <= F.col("to"))
+    return pairs.distinct().join(sides, inside, "left_anti")
+
+
+def _rare(docs: DataFrame, starts: DataFrame, found: DataFrame, kind: str, width: int, similarity: float, shingle: int) -> DataFrame:
+    """The verified passages of the sub-sequences in ``starts`` (id, x, open), one of the two at least open: with the
+    first ones that share one of their rarest tokens, and what isn't similar to these with all others. Passages that are
+    ``found`` already are not verified again, and of documents that passages link already only sub-sequences that are
+    in none are compared once more: neither classes nor spans can gain by the rest."""
+    rows = _rare_rows(docs, starts, kind, width, similarity, shingle)
+    names = ["id", "place", "x", "y", "open", "room", "size", *_BITS]
+    hubs = rows.groupBy("token").agg(F.min(F.struct(*names)).alias("hub"), F.max("id").alias("most")).where("hub.id != most")
+    hubs = cut(hubs.select(F.col("token").alias("o_token"), *[F.col(f"hub.{c}").alias(f"o_{c}") for c in names]))
+    first = _compared(docs, cut(_unknown(_rare_pairs(rows, hubs, width, similarity), found, width)), kind, width, shingle, similarity)
+    # what is left: rows with a sub-sequence that isn't similar to the hub's
+    shift = F.col("place") - F.col("o_place")
+    found = found.union(first)
+    sides = found.union(found.select("other", "other_start", "other_end", "id", "start", "end"))
+    known = sides.select(F.col("id").alias("i"), F.col("other").alias("o"), (F.col("start") - F.col("other_start")).alias("s"), F.col("start").alias("from"), (F.col("end") - width).alias("to"))
+    of = rows.join(hubs.select("o_token", "o_id", "o_place", "o_x"), F.col("token") == F.col("o_token"))
+    of = of.where((F.col("id") != F.col("o_id")) | (F.col("place") != F.col("o_place")) | (F.col("x") != F.col("o_x")))
+    inside = (F.col("id") == F.col("i")) & (F.col("o_id") == F.col("o")) & (shift == F.col("s")) & (F.col("x") >= F.col("from")) & (F.col("y") <= F.col("to"))
+    labels = cut(connected_components(found, "id", "other").toDF("id", "label"))
+    cover = cut(_spans(sides).select(F.col("id").alias("i"), F.col("start").alias("from"), (F.col("end") - width).alias("to")))
+    within = (F.col("id") == F.col("i")) & (F.col("x") >= F.col("from")) & (F.col("y") <= F.col("to"))
+    left = of.join(known, inside, "left_anti").select("token", *names)
+    done = of.join(known, inside, "left_semi").select("token", *names).withColumn("covered", F.lit(True))
+    left = left.join(cover, within, "left").withColumn("covered", F.col("i").isNotNull()).select("token", *names, "covered").distinct()
+    labelled = lambda df: df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).select("token", *names, "covered", "label")
+    left, done = stored(labelled(left), "left"), stored(labelled(done), "done")
+    side = lambda df: df.toDF(*[f"o_{c}" for c in df.columns])
+    more = _rare_pairs(left, side(left), width, similarity, True).where("id > other").union(_rare_pairs(left, side(done), width, similarity, True))
+    more = cut(_unknown(more, found, width))
+    for table in (rows, left, done):
+        dropped(table)
+    return first if more.isEmpty() else first.union(_compared(docs, more, kind, width, shingle, similarity))
 
 
 def _islands(pairs: DataFrame, width: int) -> DataFrame:
@@ -363,13 +449,28 @@ def similar_starts(a: np.ndarray, b: np.ndarray, width: int, similarity: float)
     return ok
 
 
+def _in_place(a: pa.ListArray, b: pa.ListArray, width: int, similarity: float) -> np.ndarray:
+    """For which rows of equally long lists all sub-sequences have enough tokens that are equal in place."""
+    same = np.concatenate([[0], np.cumsum(a.flatten().to_numpy() == b.flatten().to_numpy())])
+    after = np.cumsum(a.value_lengths().to_numpy().astype(np.int64))
+    ok = (same[width:] - same[:-width]) * (1 + similarity) >= 2 * similarity * width
+    bad = np.concatenate([[0], np.cumsum(~ok)])  # starts that aren't similar before a place
+    first = np.concatenate([[0], after[:-1]])
+    return bad[after - width + 1] == bad[first]
+
+
 def _verified(both: DataFrame, kind: str, width: int, similarity: float) -> DataFrame:
     """The parts of the regions whose every sub-sequence of ``width`` tokens is similar to the aligned one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, start, other, other_start, a, b in zip(*(batch.column(k) for k in ("id", "start", "other", "other_start", "a", "b")), strict=True):
+            whole = _in_place(batch.column("a"), batch.column("b"), width, similarity)
+            for every, key, start, other, other_start, a, b in zip(whole.tolist(), *(batch.column(k) for k in ("id", "start", "other", "other_start", "a", "b")), strict=True):
+                if every:
+                    f, o, n = start.as_py(), other_start.as_py(), len(a)
+                    rows.append((key.as_py(), f, f + n, other.as_py(), o, o + n))
+                    continue
                 ok = similar_starts(a.values.to_numpy(), b.values.to_numpy(), width, similarity)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.astype(np.int8), [0]])))
                 rows += [(key.as_py(), start.as_py() + f, start.as_py() + e - 1 + width, other.as_py(), other_start.as_py() + f, other_start.as_py() + e - 1 + width) for f, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
@@ -392,22 +493,47 @@ def _compared(docs: DataFrame, pairs: DataFrame, kind: str, width: int, shingle:
     return good
 
 
+def _copies(docs: DataFrame, kind: str, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """The passages of documents whose whole text is that of one with a smaller id, and the other documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array([sum(len(p.split()) for p in stretches(text.as_py().encode("utf-8", "surrogatepass"))) for text in batch.column(1)], pa.int32())
+            zero = pa.array(np.zeros(len(n), np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), zero, n, batch.column(2), zero, n], names=["id", "start", "end", "other", "other_start", "other_end"])
+
+    text = F.col("text")
+    prints = docs.withColumns({"a": F.xxhash64(text), "b": F.xxhash64(F.lit(1), text), "c": F.octet_length(text)})
+    firsts = prints.where("text is not null").groupBy("a", "b", "c").agg(F.min("id").alias("other"), F.max("id").alias("most")).where("other != most").drop("most")
+    keys = ["a", "b", "c"]
+    classes = cut(firsts)
+    firsts = given(classes)
+    same = prints.join(firsts, keys)
+    copies = same.where("id != other").select("id", "text", "other")
+    whole = cut(copies.mapInArrow(lean(run), f"id {kind}, start int, end int, other {kind}, other_start int, other_end int").where(F.col("end") >= min_words).distinct())
+    rest = prints.join(firsts, keys, "left").where("other is null or id = other").select("id", "text")
+    return whole, stored(rest, "texts") if firsts is classes else rest
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, shingle: int = 5, hashes: int = 4, similarity: float = 0.8, rounds: int = 1, collisions: int = 2) -> DataFrame:
     """(id, start, end, other, other_start, other_end): word ranges of passages that two documents share, computed.
 
     A passage of ``min_words`` equal words is always found; sub-sequences of similarity s meet with the
-    probability that ``collisions`` of ``hashes`` draws of probability s succeed (0.973 at 0.8). What meets and isn't verified in ``rounds`` rounds is compared by content and, with the
-    first document of each, by rare tokens: a near passage can be missed if it is similar to none of those, which
-    takes documents that are similar to the first ones without its being so.
+    probability that ``collisions`` of ``hashes`` draws of probability s succeed (0.973 at 0.8). What meets and isn't
+    verified in ``rounds`` rounds is compared by content and by rare tokens with all that has its keys, so of what meets
+    no sub-sequence is left without a passage if it is similar to any other. Of documents with equal texts the first one
+    is compared, and each other one shares its whole text with it.
     """
     spark = docs.sparkSession
     ship(spark)
     width = min_words - shingle + 1
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
+    copies, docs = _copies(docs, kind, min_words)
     shared = spark.sparkContext.broadcast(_key_bitmap(docs, width, hashes, shingle))
     windows = rows = stored(_windows(docs, kind, width, hashes, shingle, collisions, shared), "windows")
     out = spark.createDataFrame([], f"id {kind}, start int, end int, other {kind}, other_start int, other_end int")
+    met = []
     for _ in range(rounds):
         row = F.struct("id", "first", "last", "at")
         hubs = rows.groupBy("key").agg(F.min(row).alias("hub"), F.max("id").alias("most")).where("hub.id != most").select("key", "hub")
@@ -420,20 +546,23 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         own = good.select(F.col("id").alias("i"), F.col("other").alias("o"), (F.col("start") - F.col("other_start")).alias("s"), F.col("start").alias("from"), (F.col("end") - width).alias("to"))
         inside = (F.col("id") == F.col("i")) & (F.col("other") == F.col("o")) & (F.col("shift") == F.col("s")) & (F.col("first") >= F.col("from")) & (F.col("last") <= F.col("to"))
         rows = cut(pairs.join(own, inside, "left_anti").select("key", "id", "first", "last", "at"))
-        dropped(pairs)
+        met.append(pairs)
     dropped(windows)
-    doubtful = cut(rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("key"))
-    verified = out.select("id", "start", "end").union(out.select(F.col("other").alias("id"), F.col("other_start").alias("start"), F.col("other_end").alias("end")))
-    contents = stored(_contents(docs, rows.join(given(doubtful, 1_000_000), "key", "left_semi"), verified, kind, width, shingle), "contents")
-    firsts = cut(contents.groupBy("content", "more").agg(F.min(F.struct("id", "x")).alias("hub"), F.max("id").alias("most")))
-    equal = contents.join(firsts.where("hub.id != most"), ["content", "more"]).where("id != hub.id").select("id", F.col("hub.id").alias("other"), (F.col("x") - F.col("hub.x")).alias("shift"), "x", F.col("x").alias("y"))
+    # keys with documents besides the hub of which one isn't verified; all rows that the hub was compared with
+    doubtful = met[0].join(given(cut(rows.select("key").distinct()), 1_000_000), "key", "left_semi") if met else rows
+    doubtful = cut(doubtful.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("key"))
+    members = lambda df: df.join(given(doubtful, 1_000_000), "key", "left_semi")
+    contents = stored(_contents(docs, members(met[0] if met else rows), members(rows), kind, width, shingle), "contents")
+    for pairs in met:
+        dropped(pairs)
+    firsts = cut(contents.groupBy("content", "more").agg(F.min(F.struct("id", "x")).alias("hub"), F.max("id").alias("most"), F.max("open").alias("open")))
+    equal = contents.drop("open").join(firsts.where("hub.id != most and open"), ["content", "more"]).where("id != hub.id").select("id", F.col("hub.id").alias("other"), (F.col("x") - F.col("hub.x")).alias("shift"), "x", F.col("x").alias("y"))
     out = out.union(cut(_islands(equal, width)))
     dropped(contents)
-    starts = firsts.select("hub.id", "hub.x", (F.col("hub.id") == F.col("most")).alias("alone"))
-    near = cut(_rare_pairs(docs, starts, kind, width, similarity, shingle))
-    out = out.union(_compared(docs, near, kind, width, shingle, similarity))
+    starts = firsts.select("hub.id", "hub.x", "open")
+    out = out.union(_rare(docs, starts, out, kind, width, similarity, shingle))
     words = {c: F.col(c) + (shingle - 1) for c in ("end", "other_end")}
-    return out.withColumns(words)
+    return out.withColumns(words).union(copies)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

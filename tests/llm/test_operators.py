@@ -245,6 +245,76 @@ def test_substring_splits_common_lines(spark):
     found = {(r.id, r.other) for r in substring.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert sum((2 * k + 1, 2 * k) in found or (2 * k, 2 * k + 1) in found for k in range(40)) >= 36
 
+def test_substring_compares_all_that_share_a_rare_token(spark):
+    # the first documents of all tokens of a passage have it in two parts, and are similar to nothing
+    rng = random.Random(31)
+    rows = []
+    for group in range(20):
+        tokens = words(rng, 60, 100_000).split()
+        for k, at in enumerate([20, 30, 40, 20, 30, 40]):
+            rows.append((10 * group + k, f"{' '.join(tokens[:at])} {words(rng, 60, 100_000)} {' '.join(tokens[at:])}"))
+        for k in (8, 9):
+            rows.append((10 * group + k, f"{words(rng, 30, 100_000)} {' '.join(tokens)} {words(rng, 30, 100_000)}"))
+            tokens[30] = "changed"
+    found = {r.doc_id: r.class_id for r in substring.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {10 * group + k: 10 * group + 8 for group in range(20) for k in (8, 9)}
+
+
+def exact_similar_starts(texts, width, similarity):
+    """All (document, document) of which a sub-sequence is similar to one of the other, aligned at any common token."""
+    sets = {k: substring.shingle_hashes(t).tolist() for k, t in texts.items()}
+    out = set()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b:
+                shifts = {i - j for i, u in enumerate(x) for j, v in enumerate(y) if u == v}
+                if any(substring.similar_starts(np.array(x[max(0, s) : max(0, s) + n]), np.array(y[max(0, -s) : max(0, -s) + n]), width, similarity).any() for s in shifts if (n := min(len(x) - max(0, s), len(y) - max(0, -s))) >= width):
+                    out.add((a, b))
+    return out
+
+
+def test_rare_tokens_lose_no_similar_sub_sequence(spark):
+    rng = random.Random(37)
+    line = words(rng, 30, 100_000)
+    texts = {}
+    for group in range(15):
+        tokens = f"{words(rng, 16, 100_000)} {line} {words(rng, 16, 100_000)}".split()
+        for k in range(4):
+            own = list(tokens)
+            for place in rng.sample(range(len(own)), k % 3):
+                own[place] = f"changed{group}x{k}"
+            texts[10 * group + k] = " ".join(own)
+    width = 46
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "id bigint, text string")
+    starts = spark.createDataFrame([(k, x, True) for k, t in texts.items() for x in range(len(substring.shingle_hashes(t)) - width + 1)], "id bigint, x int, open boolean")
+    nothing = spark.createDataFrame([], "id bigint, start int, end int, other bigint, other_start int, other_end int")
+    substring.ship(spark)
+    found = substring._rare(docs, starts, nothing, "bigint", width, 0.8, 5).select("id", "other").distinct().collect()
+    found = {(min(r.id, r.other), max(r.id, r.other)) for r in found}
+    expected = exact_similar_starts(texts, width, 0.8)
+    label = {k: k for k in texts}
+    for _ in texts:
+        for a, b in found:
+            label[a] = label[b] = min(label[a], label[b])
+    assert found <= expected and all(label[a] == label[b] for a, b in expected)
+
+
+def test_substring_equal_texts_are_one_document(spark):
+    rng = random.Random(41)
+    text, short = words(rng, 60, 100_000), words(rng, 49, 100_000)
+    rows = [(3, text), (1, text), (2, short), (4, short), (5, None), (6, None), (7, f"{words(rng, 9, 100_000)} {text}"), (3, "other words"), (None, text)]
+    found = {r.doc_id: (r.class_id, r.n_words, [tuple(x) for x in r.spans]) for r in substring.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {1: (1, 60, [(0, 60)]), 3: (1, 60, [(0, 60)]), 7: (1, 60, [(9, 69)])}
+
+
+def test_in_place_is_a_part_of_similar_starts():
+    rng = np.random.default_rng(2)
+    a = [rng.integers(0, 50, int(rng.integers(8, 30))).astype(np.int32) for _ in range(200)]
+    b = [np.where(rng.random(len(x)) < rng.choice([0.0, 0.1, 0.4]), 99, x).astype(np.int32) for x in a]
+    got = substring._in_place(pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32())), 8, 0.8)
+    expected = [all(2 * 0.8 * 8 <= 1.8 * int((x[k : k + 8] == y[k : k + 8]).sum()) for k in range(len(x) - 7)) for x, y in zip(a, b)]
+    assert got.tolist() == expected
+
 
 def test_similar_starts_match_brute_force():
     rng = np.random.default_rng(1)
