@@ -23,6 +23,7 @@ to one third, which links them. Texts that are equal as a whole are one document
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import connected_components, cut, dropped, given, lean, ship, stored, stretches
+from nearfield.llm.common import connected_components, cut, dropped, executors_tidied, given, lean, ship, stored, stretches
 
 _PLACE_BITS = 20
 _MOST = 1 << _PLACE_BITS
@@ -39,6 +40,9 @@ _FILL = 1 << 15  # tokens of short texts that are worked on together: what a pro
 _BITS = ["bits0", "bits1", "bits2", "bits3"]  # a bitmap of tokens
 _MAP_WORDS = 1 << 21  # of the bitmap of keys: 16 MiB, whatever the input
 _SKETCH = 1 << 22  # buckets of the counts of tokens: 16 MiB
+_CHUNK = 1 << 18  # bytes of texts that are hashed together
+_LONG = 64  # bytes of a word from which on it is hashed by itself
+_LOWER = bytes(32 if chr(c) in " \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,6 +66,59 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     return _mix(out)
 
 
+def word_hashes(raw: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number before each edge) of the words of ``raw``, A-Z lower-cased; ``edges`` are the places where a text
+    begins, and the end."""
+    n = len(raw)
+    low = np.frombuffer(raw.translate(_LOWER) + bytes(8), np.uint8)
+    word = low[:n] != 32
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = edges[(edges > 0) & (edges < n)]
+    first[inner] = word[inner]
+    last[inner - 1] = word[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    lengths = ends - starts
+    eight = np.ndarray((n + 1,), "<u8", low, strides=(1,))  # the eight bytes from each place on
+    out = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    left = np.flatnonzero(lengths <= _LONG)
+    at, rest = starts[left], lengths[left]
+    while len(left):
+        spare = np.maximum(8 - rest, 0).astype(np.uint64) * np.uint64(8)
+        out[left] = _mix((out[left] * np.uint64(0xD6E8FEB86659FD93)) ^ (eight[at] << spare))
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    for k in np.flatnonzero(lengths > _LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(low[starts[k] : ends[k]])
+    return out, np.searchsorted(starts, edges)
+
+
+def token_rows(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of the runs of ``shingle`` words of each text; empty for null and for fewer words."""
+    texts = texts.fill_null("")
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = memoryview(texts.buffers()[2] or b"")
+    k = 0
+    while k < len(texts):
+        end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + _CHUNK, side="right")) - 1)
+        raw, edges = bytes(data[offsets[k] : offsets[end]]), offsets[k : end + 1] - offsets[k]
+        if len(raw) > 4 * _CHUNK:  # one long text
+            words = np.concatenate([word_hashes(part, np.array([0, len(part)]))[0] for part in stretches(raw)])
+            places = np.array([0, len(words)])
+        else:
+            words, places = word_hashes(raw, edges)
+        n = max(0, len(words) - shingle + 1)
+        tokens = words[:n].copy()
+        for j in range(1, shingle):
+            tokens = tokens * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+        tokens = _mix(tokens)
+        for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+            yield tokens[a : max(a, b - shingle + 1)]
+        k = end
+
+
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each run of ``width`` values."""
     n = len(x) - width + 1
@@ -102,8 +159,7 @@ def _blocks(batch: pa.RecordBatch, width: int, shingle: int) -> Iterator[tuple[n
         before = np.array([b[1] for b in block]) - (np.cumsum(lengths) - lengths)
         return np.array([b[0] for b in block]), before, np.repeat(np.arange(len(block)), lengths), np.concatenate([b[2] for b in block])
 
-    for row, text in enumerate(batch.column(1)):
-        tokens = shingle_hashes(text.as_py(), shingle)
+    for row, tokens in enumerate(token_rows(batch.column(1), shingle)):
         for at in range(0, max(1, len(tokens) - width + 1), _MOST // 2):
             part = tokens[at : at + _MOST // 2 + width - 1]
             if len(part) < width:
@@ -178,10 +234,15 @@ def _ranges(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(given(lists, 400_000, 48 << 20), "id").select("id", "text", "ranges")
 
 
+@lru_cache(8)
+def _powers(odd: int, n: int) -> np.ndarray:
+    """The first ``n`` powers, modulo 2**64; texts of about one length share them."""
+    return np.cumprod(np.full(n, odd, np.uint64))
+
+
 def range_hashes(tokens: np.ndarray, starts: np.ndarray, width: int, odd: int) -> np.ndarray:
     """A polynomial hash, modulo 2**64, of the ``width`` tokens from each of ``starts`` on."""
-    power = np.cumprod(np.full(len(tokens), odd, np.uint64))
-    back = np.cumprod(np.full(len(tokens), pow(odd, -1, 2**64), np.uint64))
+    power, back = (_powers(x, 1 << max(10, len(tokens).bit_length()))[: len(tokens)] for x in (odd, pow(odd, -1, 2**64)))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * power)])
     return (total[starts + width] - total[starts]) * back[starts]
 
@@ -192,17 +253,16 @@ def _contents(docs: DataFrame, rows: DataFrame, left: DataFrame, kind: str, widt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, ranges in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                tokens = shingle_hashes(text.as_py(), shingle)
+            for key, tokens, ranges in zip(batch.column(0), token_rows(batch.column(1), shingle), batch.column(2), strict=True):
                 starts, ends = _unpacked(ranges)
-                wanted, opened = np.zeros((2, len(tokens) + 1), np.int32)
-                for held, some in ((wanted, ends > 0), (opened, ends < 0)):  # those of rows that are left have negative ends
-                    np.add.at(held, starts[some], 1)
-                    np.add.at(held, np.abs(ends[some]), -1)
+                size = len(tokens) + 1
+                # the ranges of rows that are left have negative ends
+                wanted, opened = (np.bincount(starts[some], minlength=size) - np.bincount(np.abs(ends[some]), minlength=size) for some in (ends > 0, ends < 0))
                 own = np.flatnonzero(np.cumsum(wanted) > 0)
                 if not len(own):
                     continue
-                content, more = (_mix(range_hashes(x, own, width, odd)) for x, odd in ((tokens, 0x9E3779B97F4A7C15), (_mix(tokens), 0xD6E8FEB86659FD93)))
+                held = tokens[own[0] : own[-1] + width]
+                content, more = (_mix(range_hashes(x, own - own[0], width, odd)) for x, odd in ((held, 0x9E3779B97F4A7C15), (_mix(held), 0xD6E8FEB86659FD93)))
                 columns = [pa.array(content.view(np.int64)), pa.array(more.view(np.int64)), pa.repeat(key, len(own)), pa.array(own.astype(np.int32)), pa.array(np.cumsum(opened)[own] > 0)]
                 yield pa.RecordBatch.from_arrays(columns, names=["content", "more", "id", "x", "open"])
 
@@ -234,21 +294,48 @@ def rare_tokens(tokens: np.ndarray, starts: np.ndarray, width: int, similarity:
     similar one must share one of. The order is by ``counts`` of the tokens' buckets, then by the tokens; room is the
     number of different tokens from this one on, size that of all."""
     found = [[np.zeros(0, np.int64)] for _ in range(4)]
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((tokens, counts[_bucket(tokens)]))] = np.arange(len(tokens))  # tokens that are equal are neighbours
-    for k in range(0, len(starts), 4096):
-        own = starts[k : k + 4096]
-        order = np.argsort(rank[own[:, None] + np.arange(width)], axis=1)
-        place = own[:, None] + order
-        here = tokens[place]
-        fresh = np.ones(here.shape, bool)
-        fresh[:, 1:] = here[:, 1:] != here[:, :-1]
-        nth = np.cumsum(fresh, axis=1)  # number of different tokens so far
-        room = nth[:, -1:] - nth + 1
-        wanted = fresh & (room >= similarity * nth[:, -1:] - 1e-9) & (counts[_bucket(here)] > 1)
+    if not len(starts):
+        return tuple(map(np.concatenate, found))
+    begin = int(starts.min())
+    tokens, starts = tokens[begin : int(starts.max()) + width], starts - begin
+    n = len(tokens)
+    often = counts[_bucket(tokens)]
+    held = np.concatenate([[0], np.cumsum(often > 1)])
+    starts = starts[held[starts + width] > held[starts]]
+    by_rank = np.lexsort((tokens, often))
+    rank = np.empty(n, np.int32)
+    rank[by_rank] = np.arange(n)  # tokens that are equal are neighbours
+    ranked = tokens[by_rank]
+    again = np.zeros(n + 1, np.int64)  # tokens that the text has more than once
+    twice = np.flatnonzero(ranked[1:] == ranked[:-1])
+    again[1 + by_rank[twice]] = again[1 + by_rank[twice + 1]] = 1
+    again = np.cumsum(again)
+    plain = again[starts + width] == again[starts]
+    most = int(np.floor(width - similarity * width + 1e-9)) + 1  # of tokens that are all different
+
+    def put(place: np.ndarray, own: np.ndarray, wanted: np.ndarray, room: np.ndarray, size: np.ndarray) -> None:
         times = wanted.sum(axis=1)
-        for into, values in zip(found, (place[wanted], np.repeat(own, times), room[wanted], np.repeat(nth[:, -1], times)), strict=True):
+        for into, values in zip(found, (place[wanted] + begin, np.repeat(own + begin, times), room[wanted], np.repeat(size, times)), strict=True):
             into.append(values)
+
+    for k in range(0, len(starts), 4096):
+        own = starts[k : k + 4096][plain[k : k + 4096]]
+        if len(own):
+            least = rank[own[:, None] + np.arange(width)]
+            if most < width:
+                least = np.partition(least, most - 1, axis=1)[:, :most]
+            place = by_rank[np.sort(least, axis=1)]
+            room = np.broadcast_to(width - np.arange(place.shape[1]), place.shape)
+            put(place, own, often[place] > 1, room, np.full(len(own), width))
+        own = starts[k : k + 4096][~plain[k : k + 4096]]
+        if len(own):
+            place = by_rank[np.sort(rank[own[:, None] + np.arange(width)], axis=1)]
+            here = tokens[place]
+            fresh = np.ones(here.shape, bool)
+            fresh[:, 1:] = here[:, 1:] != here[:, :-1]
+            nth = np.cumsum(fresh, axis=1)  # number of different tokens so far
+            room = nth[:, -1:] - nth + 1
+            put(place, own, fresh & (room >= similarity * nth[:, -1:] - 1e-9) & (often[place] > 1), room, nth[:, -1])
     return tuple(map(np.concatenate, found))
 
 
@@ -273,21 +360,20 @@ def _rare_rows(docs: DataFrame, starts: DataFrame, kind: str, width: int, simila
     spark = docs.sparkSession
     texts = _ranges(docs, starts.select("id", F.col("x").alias("start"), F.col("open").cast("int").alias("end")))
 
-    def own(text: pa.Scalar, ranges: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        tokens = shingle_hashes(text.as_py(), shingle)
+    def own(ranges: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
         x, opened = _unpacked(ranges)
         order = np.argsort(x, kind="stable")
-        return tokens, x[order], opened[order] > 0
+        return x[order], opened[order] > 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, opens = np.zeros((2, _SKETCH), np.int32)
         for batch in batches:
-            for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
-                tokens, x, opened = own(text, ranges)
+            for tokens, ranges in zip(token_rows(batch.column(1), shingle), batch.column(2), strict=True):
+                x, opened = own(ranges)
                 for into, some in ((total, x), (opens, x[opened])):
-                    held = np.zeros(len(tokens) + 1, np.int32)
-                    np.add.at(held, some, 1)
-                    np.add.at(held, some + width, -1)
+                    if not len(some):
+                        continue
+                    held = np.bincount(some, minlength=len(tokens) + 1) - np.bincount(some + width, minlength=len(tokens) + 1)
                     np.add.at(into, _bucket(np.unique(tokens[np.cumsum(held[:-1]) > 0])), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some]), pa.array(opens[some] > 0)], names=["bucket", "c", "open"])
@@ -299,8 +385,8 @@ def _rare_rows(docs: DataFrame, starts: DataFrame, kind: str, width: int, simila
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, ranges in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                tokens, x, opened = own(text, ranges)
+            for key, tokens, ranges in zip(batch.column(0), token_rows(batch.column(1), shingle), batch.column(2), strict=True):
+                x, opened = own(ranges)
                 place, start, room, size = rare_tokens(tokens, x, width, similarity, shared.value)
                 if not len(place):
                     continue
@@ -345,10 +431,20 @@ def _spans(sides: DataFrame) -> DataFrame:
     return sides.select("id", "start", "end").distinct().withColumn("before", before).where("before is null or end > before").drop("before")
 
 
-def _unknown(pairs: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """The aligned starts (id, other, shift, x, y) without those that lie in a passage of ``found``, seen from either side."""
-    sides = found.select("id", "start", "end", "other", "other_start").union(found.select("other", "other_start", (F.col("other_start") + F.col("end") - F.col("start")).alias("end"), "id", "start"))
-    sides = sides.select(F.col("id").alias("i"), F.col("other").alias("o"), (F.col("start") - F.col("other_start")).alias("s"), F.col("start").alias("from"), (F.col("end") - width).alias("to"))
+def _fewer(df: DataFrame) -> DataFrame:
+    """``df``, whose partitions are small, in an eighth of them: each is a task, and a file once it is written."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // 8))
+
+
+def _sides(found: DataFrame, width: int) -> DataFrame:
+    """(i, o, s, from, to): passages seen from either side, as aligned starts, in a table of their own."""
+    sides = found.select("id", "other", (F.col("start") - F.col("other_start")).alias("s"), "start", "end")
+    sides = sides.union(found.select("other", "id", (F.col("other_start") - F.col("start")).alias("s"), "other_start", "other_end"))
+    return stored(_fewer(sides.withColumn("end", F.col("end") - width).toDF("i", "o", "s", "from", "to")), "sides")
+
+
+def _unknown(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """The aligned starts (id, other, shift, x, y) without those that lie in a passage of ``sides``."""
     inside = (F.col("id") == F.col("i")) & (F.col("other") == F.col("o")) & (F.col("shift") == F.col("s")) & (F.col("x") >= F.col("from")) & (F.col("y") <= F.col("to"))
     return pairs.distinct().join(sides, inside, "left_anti")
 
@@ -358,31 +454,33 @@ def _rare(docs: DataFrame, starts: DataFrame, found: DataFrame, kind: str, width
     first ones that share one of their rarest tokens, and what isn't similar to these with all others. Passages that are
     ``found`` already are not verified again, and of documents that passages link already only sub-sequences that are
     in none are compared once more: neither classes nor spans can gain by the rest."""
+    spark = docs.sparkSession
     rows = _rare_rows(docs, starts, kind, width, similarity, shingle)
     names = ["id", "place", "x", "y", "open", "room", "size", *_BITS]
     hubs = rows.groupBy("token").agg(F.min(F.struct(*names)).alias("hub"), F.max("id").alias("most")).where("hub.id != most")
     hubs = cut(hubs.select(F.col("token").alias("o_token"), *[F.col(f"hub.{c}").alias(f"o_{c}") for c in names]))
-    first = _compared(docs, cut(_unknown(_rare_pairs(rows, hubs, width, similarity), found, width)), kind, width, shingle, similarity)
-    # what is left: rows with a sub-sequence that isn't similar to the hub's
+    before = _sides(found, width)
+    first = _compared(docs, cut(_unknown(_rare_pairs(rows, hubs, width, similarity), before)), kind, width, shingle, similarity)
+    after = _sides(first, width)
+    sides = before.union(after)
+    executors_tidied(spark)
+    # rows whose sub-sequences are all similar to the hub's are known; of the others some lie in passages
+    labels = cut(connected_components(sides.where("i > o"), "i", "o").toDF("i", "label"))
+    cover = cut(_spans(sides.select(F.col("i").alias("id"), F.col("from").alias("start"), (F.col("to") + width).alias("end"))).select(F.col("id").alias("i"), F.col("start").alias("from"), (F.col("end") - width).alias("to")))
     shift = F.col("place") - F.col("o_place")
-    found = found.union(first)
-    sides = found.union(found.select("other", "other_start", "other_end", "id", "start", "end"))
-    known = sides.select(F.col("id").alias("i"), F.col("other").alias("o"), (F.col("start") - F.col("other_start")).alias("s"), F.col("start").alias("from"), (F.col("end") - width).alias("to"))
     of = rows.join(hubs.select("o_token", "o_id", "o_place", "o_x"), F.col("token") == F.col("o_token"))
-    of = of.where((F.col("id") != F.col("o_id")) | (F.col("place") != F.col("o_place")) | (F.col("x") != F.col("o_x")))
-    inside = (F.col("id") == F.col("i")) & (F.col("o_id") == F.col("o")) & (shift == F.col("s")) & (F.col("x") >= F.col("from")) & (F.col("y") <= F.col("to"))
-    labels = cut(connected_components(found, "id", "other").toDF("id", "label"))
-    cover = cut(_spans(sides).select(F.col("id").alias("i"), F.col("start").alias("from"), (F.col("end") - width).alias("to")))
-    within = (F.col("id") == F.col("i")) & (F.col("x") >= F.col("from")) & (F.col("y") <= F.col("to"))
-    left = of.join(known, inside, "left_anti").select("token", *names)
-    done = of.join(known, inside, "left_semi").select("token", *names).withColumn("covered", F.lit(True))
-    left = left.join(cover, within, "left").withColumn("covered", F.col("i").isNotNull()).select("token", *names, "covered").distinct()
-    labelled = lambda df: df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).select("token", *names, "covered", "label")
-    left, done = stored(labelled(left), "left"), stored(labelled(done), "done")
+    of = of.where((F.col("id") != F.col("o_id")) | (F.col("place") != F.col("o_place")) | (F.col("x") != F.col("o_x"))).withColumn("shift", shift)
+    out = lambda c: F.col(c).outer()
+    within = (F.col("i") == out("id")) & (F.col("from") <= out("x")) & (F.col("to") >= out("y"))
+    aligned = within & (F.col("o") == out("o_id")) & (F.col("s") == out("shift"))
+    of = of.withColumn("known", sides.where(aligned).exists()).select("token", *names, "known").withColumn("covered", cover.where(within).exists())
+    of = of.join(labels, F.col("id") == F.col("i"), "left").withColumn("label", F.coalesce("label", "id")).drop("i")
+    told = stored(of, "told")
+    left, done = told.where("not known").drop("known"), told.where("known").drop("known")
     side = lambda df: df.toDF(*[f"o_{c}" for c in df.columns])
     more = _rare_pairs(left, side(left), width, similarity, True).where("id > other").union(_rare_pairs(left, side(done), width, similarity, True))
-    more = cut(_unknown(more, found, width))
-    for table in (rows, left, done):
+    more = cut(_unknown(more, sides))
+    for table in (rows, told, before, after):
         dropped(table)
     return first if more.isEmpty() else first.union(_compared(docs, more, kind, width, shingle, similarity))
 
@@ -404,8 +502,8 @@ def _slices(docs: DataFrame, wanted: DataFrame, kind: str, shingle: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, ends, sets = [], [], [], []
-            for key, text, ranges in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                tokens = (shingle_hashes(text.as_py(), shingle) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for key, tokens, ranges in zip(batch.column(0), token_rows(batch.column(1), shingle), batch.column(2), strict=True):
+                tokens = (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 for start, end in zip(*map(np.ndarray.tolist, _unpacked(ranges)), strict=True):
                     ids.append(key.as_py())
                     starts.append(start)
@@ -428,20 +526,28 @@ def similar_starts(a: np.ndarray, b: np.ndarray, width: int, similarity: float)
     if ok.all():
         return ok
     n = len(a)
+
+    def enough(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """By start: so many pairs of places p and q lie in a sub-sequence that begins there."""
+        near = np.abs(p - q) < width
+        least, most = np.minimum(p, q)[near], np.maximum(p, q)[near]
+        common = np.bincount(np.maximum(most - width + 1, 0), minlength=n + 1) - np.bincount(least + 1, minlength=n + 1)
+        return np.cumsum(common)[: len(ok)] * (1 + similarity) >= 2 * similarity * width - 1e-9
+
+    order = np.argsort(np.concatenate([a, b]), kind="stable")
+    ranked = np.concatenate([a, b])[order]
+    twin = np.flatnonzero(ranked[1:] == ranked[:-1])
+    p, q = order[twin], order[twin + 1] - n
+    if (p < n).all() and (q >= 0).all():  # no token is repeated
+        return ok | enough(p, q)
     (x, first, times), (y, other, others) = np.unique(a, return_index=True, return_counts=True), np.unique(b, return_index=True, return_counts=True)
     both, k, m = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not len(both):
         return ok
-    p, q = first[k], other[m]
-    near = np.abs(p - q) < width
-    common = np.zeros(n + 1, np.int64)  # by start: the places p and q lie in a sub-sequence that begins there
-    np.add.at(common, np.maximum(np.maximum(p, q)[near] - width + 1, 0), 1)
-    np.add.at(common, np.minimum(p, q)[near] + 1, -1)
-    common = np.cumsum(common)[: len(ok)]
-    repeats = np.isin(a, x[times > 1]) | np.isin(b, x[times > 1]) | np.isin(a, y[others > 1]) | np.isin(b, y[others > 1])
-    held = np.concatenate([[0], np.cumsum(repeats)])
+    twice = np.union1d(x[times > 1], y[others > 1])
+    held = np.concatenate([[0], np.cumsum(np.isin(a, twice) | np.isin(b, twice))])
     plain = held[width:] == held[:-width]
-    ok |= plain & (common * (1 + similarity) >= 2 * similarity * width - 1e-9)
+    ok |= plain & enough(first[k], other[m])
     for k in np.flatnonzero(~ok & ~plain):
         own, theirs = set(a[k : k + width].tolist()), set(b[k : k + width].tolist())
         shared = len(own & theirs)
@@ -531,6 +637,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
     copies, docs = _copies(docs, kind, min_words)
     shared = spark.sparkContext.broadcast(_key_bitmap(docs, width, hashes, shingle))
+    executors_tidied(spark)
     windows = rows = stored(_windows(docs, kind, width, hashes, shingle, collisions, shared), "windows")
     out = spark.createDataFrame([], f"id {kind}, start int, end int, other {kind}, other_start int, other_end int")
     met = []
@@ -548,6 +655,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         rows = cut(pairs.join(own, inside, "left_anti").select("key", "id", "first", "last", "at"))
         met.append(pairs)
     dropped(windows)
+    executors_tidied(spark)
     # keys with documents besides the hub of which one isn't verified; all rows that the hub was compared with
     doubtful = met[0].join(given(cut(rows.select("key").distinct()), 1_000_000), "key", "left_semi") if met else rows
     doubtful = cut(doubtful.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("key"))
@@ -559,6 +667,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     equal = contents.drop("open").join(firsts.where("hub.id != most and open"), ["content", "more"]).where("id != hub.id").select("id", F.col("hub.id").alias("other"), (F.col("x") - F.col("hub.x")).alias("shift"), "x", F.col("x").alias("y"))
     out = out.union(cut(_islands(equal, width)))
     dropped(contents)
+    executors_tidied(spark)
     starts = firsts.select("hub.id", "hub.x", "open")
     out = out.union(_rare(docs, starts, out, kind, width, similarity, shingle))
     words = {c: F.col(c) + (shingle - 1) for c in ("end", "other_end")}
@@ -575,7 +684,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Defined cases: null texts and texts of fewer words than a passage share nothing; rows without an id are left
     out; rows that repeat an id are one document; an empty table gives no rows; other columns are not read.
     """
-    found = cut(passages(docs, id_col, text_col, **options))
+    found = cut(_fewer(passages(docs, id_col, text_col, **options)))
     sides = found.select("id", "start", "end", "other").union(found.select("other", "other_start", "other_end", "id"))
     spans = sides.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"), F.size(F.collect_set("other")).cast("bigint").alias("n_links"))
     empty = F.array().cast("array<struct<start:int,end:int>>")

@@ -299,6 +299,29 @@ def test_rare_tokens_lose_no_similar_sub_sequence(spark):
     assert found <= expected and all(label[a] == label[b] for a, b in expected)
 
 
+def test_substring_hashes_many_texts_together():
+    words = ["a", "B", "\u00e9\u00df", "x" * 64, "Y" * 65, "q" * 9, "same"]
+    rng = np.random.default_rng(3)
+    texts = [None, "", " \t", "one two three four", "a b c d e", " a  b\x0bc\td\nE F ", "\x00a b \x00 c d e f", "w " * 9, "m n o p " + "z" * 3_000_000 + " r s t u v"]
+    texts += ["".join(rng.choice(words) + rng.choice([" ", "\n", "  "]) for _ in range(rng.integers(0, 60))) for _ in range(200)]
+    want = [substring.shingle_hashes(t) for t in texts]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["cut", "off", *texts])[2:]):
+        got = list(substring.token_rows(column, 5))
+        assert list(map(len, got)) == list(map(len, want))
+        both = set(zip(np.concatenate(got).tolist(), np.concatenate(want).tolist(), strict=True))
+        assert len(both) == len({x for x, _ in both}) == len({y for _, y in both})  # equal where the others are equal
+
+
+def test_substring_passages_of_many_partitions_take_few_files(spark):
+    rows = [(k, 0, 60, k + 1, 5, 65) for k in range(1000)]
+    found = spark.createDataFrame(rows, "id bigint, start int, end int, other bigint, other_start int, other_end int").repartition(160)
+    sides = substring._sides(found, 46)  # each file is a process that the local file system starts, and a task of each reader
+    assert len(sides.inputFiles()) <= max(2 * 160 // 8, spark.sparkContext.defaultParallelism)
+    expected = {(k, k + 1, -5, 0, 14) for k in range(1000)} | {(k + 1, k, 5, 5, 19) for k in range(1000)}
+    assert {tuple(r) for r in sides.collect()} == expected
+    substring.dropped(sides)
+
+
 def test_substring_equal_texts_are_one_document(spark):
     rng = random.Random(41)
     text, short = words(rng, 60, 100_000), words(rng, 49, 100_000)
